@@ -155,33 +155,37 @@ class VersionedTable:
             stream.close()
         return json.loads(text)
 
-    def _claim(self, version: int, partitions: list[str]) -> None:
-        """Create the version file, or fail if some writer has created it."""
-        where = self._at("_versions", f"{version:08d}.json")
+    def _claim(self, version: int, partitions: list[str], notes: dict) -> bool:
+        """Create the version file; false if some writer has created it."""
         try:
-            stream = self._fs.create(where, False)
+            stream = self._fs.create(self._at("_versions", f"{version:08d}.json"), False)
         except Exception as error:
-            raise Conflict(f"version {version} exists") from error
-        stream.write(json.dumps({"version": version, "partitions": partitions}).encode())
+            if self._fs.exists(self._at("_versions", f"{version:08d}.json")):
+                return False
+            raise error
+        stream.write(json.dumps({"version": version, "partitions": partitions} | notes).encode())
         stream.close()
+        return True
 
     def check(self, base: int, partitions: list[str]) -> None:
         for v in self.versions():
             if v > base and (clash := set(self.manifest(v)["partitions"]) & set(partitions)):
                 raise Conflict(f"version {v} changed {sorted(clash)[:5]} after version {base}")
 
-    def rewrite(self, rows: DataFrame, partition_by: list[str], partitions: list[str], base: int) -> int:
+    def rewrite(self, rows: DataFrame, partition_by: list[str], partitions: list[str], base: int, **notes: int) -> int:
         """Replace just ``partitions`` by ``rows``; returns the new version.
 
-        The claim precedes the write: a second writer of the same base fails
-        before it touches data. A failed write leaves the claimed version
-        without data changes (dynamic overwrite moves files at job commit).
+        The claim precedes the write, so a second writer of the same base and
+        partitions fails before it touches data; one of other partitions takes
+        the next number. A failed write leaves a claimed version without data
+        changes (dynamic overwrite moves files at job commit).
         """
-        self.check(base, partitions)
-        new = self.version() + 1
-        self._claim(new, partitions)
-        self.check(base, partitions) if new == base else None
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(f"{self.path}/data"))
+        while True:
+            self.check(base, partitions)
+            new = self.version() + 1
+            if self._claim(new, partitions, notes):
+                break
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(f"{self.path}/data")
         return new
 
     def read(self, schema: T.StructType) -> DataFrame:
@@ -229,7 +233,7 @@ def compact(loose: DataFrame, table: VersionedTable, small_files: int = SMALL_FI
     if base:
         old = cut(old, "old-records")  # a table cannot be overwritten while it is read
         mine = mine.unionByName(old)
-    table.rewrite(latest_copies(mine, ["bucket"]).repartition("record_kind", "bucket"), ["record_kind", "bucket"], names, base)
+    table.rewrite(latest_copies(mine, ["bucket"]).repartition("record_kind", "bucket"), ["record_kind", "bucket"], names, base, buckets=int(buckets))
     rest = latest_copies(found.join(hit, ["record_kind", "bucket"], "left_anti"), []) if len(chosen) < 2 * buckets else None
     done = table.read(TABLE).drop("bucket")
     return done if rest is None else done.unionByName(rest.select(*done.columns))

@@ -196,9 +196,9 @@ def paths(tree: DataFrame, of: DataFrame) -> DataFrame:
     """
     wanted = tree.join(of.select("id").distinct(), "id", "left_semi").where(F.col("segments").isNotNull())
     pieces = wanted.select("id", F.posexplode("segments").alias("piece", "s")).select("id", "piece", F.col("s.head").alias("head"), F.col("s.upto").alias("end"))
-    members = chain_members(tree)
-    found = pieces.join(members, "head").where(members["upto"] <= F.col("end")).select(pieces["id"], "piece", members["upto"], members["id"].alias("node"))
-    order = Window.partitionBy("id").orderBy("piece", "upto")
+    members = chain_members(tree).select(F.col("head"), F.col("upto").alias("at"), F.col("id").alias("node"))
+    found = pieces.join(members, "head").where(F.col("at") <= F.col("end")).select("id", "piece", "at", "node")
+    order = Window.partitionBy("id").orderBy("piece", "at")
     return found.select("id", (F.row_number().over(order) - 1).alias("step"), "node")
 
 

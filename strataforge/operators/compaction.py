@@ -39,7 +39,7 @@ RECORD = T.StructType(
 )
 
 _decoder = json.JSONDecoder()
-_BLANK = " \t\r\n\x0b\x0c﻿\x00"
+_BLANK = " \t\r\n\x0b\x0c\ufeff\x00"
 
 
 def _objects(body: str) -> Iterator[dict]:

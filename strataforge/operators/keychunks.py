@@ -43,7 +43,10 @@ def number_rows(
     ``identity`` count once. Rows with a null in a key column are left out. An
     empty table gives an empty result.
     """
-    rows = rows.dropna(subset=keys)
+    # plain IS NOT NULL per key: what joins on the keys infer anyway, so that all uses
+    # of the shuffled rows have one and the same plan and the shuffle runs once
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     heavy = cut(sizes.where(F.col("_size") > chunk_rows).withColumn("_parts", F.ceil(F.col("_size") / chunk_rows).cast("int")).select(*keys, "_parts"), "heavy-keys")
     n_heavy, n_parts = heavy.agg(F.count(F.lit(1)), F.coalesce(F.sum("_parts"), F.lit(0))).first()
@@ -62,15 +65,17 @@ def number_rows(
 
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        local.where(F.col("_parts").isNotNull())
-        .groupBy(*keys, "_part")
-        .agg(F.max("_pos").alias("_n"))
+        local.groupBy(*keys, "_part")
+        .agg(F.max("_pos").alias("_n"), F.max("_parts").alias("_heavy"))
+        # on an aggregate, so that the filter stays above the shuffle of rows
+        .where(F.col("_heavy").isNotNull())
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .drop("_n", "_heavy")
     )
     return (
         local.join(small(offsets, n_parts), [*keys, "_part"], "left")
-        .withColumn("row_no", F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_pos"))
+        # naming _parts here keeps both uses of the shuffled rows alike, so it runs once
+        .withColumn("row_no", F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("_offset")) + F.col("_pos"))
         .withColumn("chunk_no", F.floor((F.col("row_no") - 1) / chunk_rows))
         .drop("_parts", "_part", "_again", "_pos", "_offset")
     )

@@ -11,9 +11,21 @@ SPACES = " \t\n\r\x0b\x0c\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 
 
+def _tidy(c: Column) -> Column:
+    """Trimmed and lower case; the slow trim of all white space runs only where needed."""
+    bare = F.trim(c)
+    visible = lambda x: F.ascii(x).between(33, 126)
+    return F.lower(F.when(visible(bare) & visible(F.substring(bare, -1, 1)), bare).otherwise(F.btrim(c, F.lit(SPACES))))
+
+
 def key(c: Column) -> Column:
     """Trimmed, lower-case key; null for null and for nothing but white space."""
-    k = F.lower(F.btrim(c, F.lit(SPACES)))
+    return F.nullif(_tidy(c), F.lit(""))
+
+
+def element_key(c: Column) -> Column:
+    """:func:`key` for use inside a lambda."""
+    k = _tidy(c)
     return F.when(k != "", k)
 
 
@@ -23,24 +35,17 @@ def clean_path(c: Column) -> Column:
     Already clean paths, the rule, skip the segment work. A leading ``..`` has
     nothing to remove and vanishes; a path of no segments is the empty string.
     """
-    p = F.translate(c, "\\", "/")
-    kept = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
-    plain = F.array_join(kept, "/")
-    climbing = F.array_join(
-        F.aggregate(
-            kept,
-            F.array().cast("array<string>"),
-            lambda done, s: F.when(
-                s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-            ).otherwise(F.concat(done, F.array(s))),
-        ),
-        "/",
-    )
-    return (
-        F.when(~p.rlike(r"(^|/)\.{0,2}(/|$)"), p)
-        .when(~F.contains(p, F.lit("..")), plain)
-        .otherwise(climbing)
+    def segments() -> Column:
+        return F.filter(F.split(F.translate(c, "\\", "/"), "/"), lambda s: (s != "") & (s != "."))
+
+    climbing = F.aggregate(
+        segments(),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
     )
+    # plain searches decide for nearly all paths; a false alarm only takes the longer way
+    odd = c.startswith("/") | c.endswith("/") | c.endswith(".") | c.contains("\\") | c.contains("//") | c.contains("./")
+    return F.when(~odd, c).when(~c.contains(".."), F.array_join(segments(), "/")).otherwise(F.array_join(climbing, "/"))
 
 
 def rfc3339(c: Column) -> Column:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataforge.functions.normal import clean_path, counting_rows, fingerprint, key
+from strataforge.functions.normal import clean_path, counting_rows, element_key, fingerprint, key
 
 #: Entries aimed at per bucket of a branch, and snapshots per run.
 BUCKET_ROWS = 50_000
@@ -140,7 +140,7 @@ def entries(filesets: DataFrame, meta: DataFrame) -> DataFrame:
     joined = meta.alias("m").join(source.alias("s"), same).select("m.fileset_id", "m.branch", "m.snap_no", "m.n_snaps", "m.n_buckets", "s.files")
     # identical deliveries are one: any of them gives the same entries
     listed = joined.select("fileset_id", "branch", "snap_no", "n_snaps", "n_buckets", F.posexplode("files").alias("pos", "f"))
-    blocks = F.transform(F.coalesce(F.col("f.blocks"), F.array()), lambda b: F.struct(key(b["hash"]).alias("hash"), b["size"].alias("size")))
+    blocks = F.transform(F.coalesce(F.col("f.blocks"), F.array()), lambda b: F.struct(element_key(b["hash"]).alias("hash"), b["size"].alias("size")))
     fp1, fp2 = fingerprint(F.to_json(F.struct(blocks.alias("b")), {"ignoreNullFields": "false"}))
     return listed.select("fileset_id", "branch", "snap_no", "n_snaps", "n_buckets", "pos", clean_path(F.col("f.path")).alias("path"), fp1.alias("fp1"), fp2.alias("fp2")).where(F.col("path") != "")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.functions.normal import clean_path, counting_rows, fingerprint, key, rfc3339, utc_month
+from strataforge.functions.normal import clean_path, counting_rows, element_key, fingerprint, key, rfc3339, utc_month
 from strataforge.operators import compaction, hierarchy, keychunks, orphans, snapshots
 from strataforge.session import cut, scratch_dir
 
@@ -69,7 +69,7 @@ def references(commits: DataFrame, refs: DataFrame) -> DataFrame:
     """Every reference once: ``ref_field, record_id, target_key, ref_month, ref_arrived``."""
     heads = counting_rows(commits.select(key(F.col("id")).alias("id"), "parents", "commit_time", "fileset_id", "arrived_at"), "id", ["parents", "commit_time", "fileset_id"])
     month = F.coalesce(utc_month(rfc3339(F.col("commit_time"))), F.lit("unknown"))
-    parents = F.transform(F.coalesce("parents", F.array().cast("array<string>")), lambda p: F.struct(F.lit("commits.parents").alias("f"), key(p).alias("k")))
+    parents = F.transform(F.coalesce("parents", F.array().cast("array<string>")), lambda p: F.struct(F.lit("commits.parents").alias("f"), element_key(p).alias("k")))
     both = F.array_distinct(F.concat(F.array(F.struct(F.lit("commits.fileset_id").alias("f"), key(F.col("fileset_id")).alias("k"))), parents))
     of_commits = heads.select("id", month.alias("ref_month"), "first_arrived", F.explode(both).alias("r")).select(F.col("r.f").alias("ref_field"), F.col("id").alias("record_id"), F.col("r.k").alias("target_key"), "ref_month", F.col("first_arrived").alias("ref_arrived"))
     of_refs = (
@@ -138,7 +138,7 @@ def p4_records(spark: SparkSession, sf: str) -> DataFrame:
 def commit_links(commits: DataFrame) -> DataFrame:
     """``id, parent``: the first non-empty entry of ``parents`` of every commit."""
     heads = counting_rows(commits.select(key(F.col("id")).alias("id"), "parents", "arrived_at"), "id", ["parents"])
-    filled = F.filter(F.transform(F.coalesce("parents", F.array().cast("array<string>")), key), lambda p: p.isNotNull())
+    filled = F.filter(F.transform(F.coalesce("parents", F.array().cast("array<string>")), element_key), lambda p: p.isNotNull())
     return heads.select("id", F.get(filled, 0).alias("parent"))
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 try:
     import xxhash
@@ -66,7 +67,7 @@ def cut_points(data: bytes, smallest: int = MIN_BLOCK, largest: int = MAX_BLOCK,
         return []
     words = gear()[np.frombuffer(data, dtype=np.uint8)]
     rolling = np.zeros(n, dtype=np.uint32)
-    for k in range(window):
+    for k in range(min(window, n)):
         rolling[k:] += words[: n - k] << np.uint32(k)
     # fewer than `window` bytes before: those places are below the smallest block
     candidates = np.flatnonzero((rolling & np.uint32(modulus - 1)) == 0) + 1
@@ -104,7 +105,7 @@ def split_files(files: DataFrame, smallest: int = MIN_BLOCK, largest: int = MAX_
     return files.select("path", "content").mapInPandas(run, BLOCK)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xxh3(values: pd.Series) -> pd.Series:
     """Block hash of strings (as UTF-8) or binary values; null for null."""
     return values.map(lambda v: None if v is None else block_hash(v.encode() if isinstance(v, str) else bytes(v)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataforge.operators.hierarchy import hierarchy, paths
+from strataforge.operators.hierarchy import chain_members, hierarchy, paths
 from strataforge.session import cut, drop
 
 ROUTE = "array<struct<back:bigint,choice:int>>"
@@ -33,11 +33,19 @@ def first_parent_chain(commits: DataFrame, tips: DataFrame) -> DataFrame:
     found = paths(tree, tips).select(F.col("id").alias("tip"), "step", F.col("node").alias("id"))
     last = F.max("step").over(Window.partitionBy("tip"))
     straight = found.select("tip", (last - F.col("step")).cast("bigint").alias("step"), "id")
+    wanted, met = _circling(commits, tree, tips)
+    return straight if met is None else straight.unionByName(met.join(wanted, "tip", "left_semi"))
+
+
+def _circling(commits: DataFrame, tree: DataFrame, tips: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Chains from tips that run into a circle (``tip, step, id``), by doubled jumps.
+
+    Only commits of circles or on the way into one take part.
+    """
     circling = tree.where(F.col("depth") < 0).select("id")
-    wanted = tips.select("id").join(circling, "id", "left_semi")
+    wanted = tips.select("id").join(circling, "id", "left_semi").select(F.col("id").alias("tip")).distinct()
     if wanted.isEmpty():
-        return straight
-    # few rows: all commits met from a circling tip, by doubled jumps
+        return wanted, None
     link = first_parents(commits).join(circling, "id", "left_semi")
     n = link.count()
     met, jump, far = link.select(F.col("id").alias("tip"), F.lit(0).cast("bigint").alias("step"), "id"), link, 1
@@ -46,7 +54,21 @@ def first_parent_chain(commits: DataFrame, tips: DataFrame) -> DataFrame:
         met = cut(met.unionByName(further).groupBy("tip", "id").agg(F.min("step").alias("step")).select("tip", "step", "id"), "circle-steps")
         jump = cut(jump.join(jump.select(F.col("id").alias("parent"), F.col("parent").alias("next")), "parent").select("id", F.col("next").alias("parent")), "circle-jumps")
         far *= 2
-    return straight.unionByName(met.join(wanted.select(F.col("id").alias("tip")).distinct(), "tip", "left_semi"))
+    return wanted, met
+
+
+def history(commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """All commits on the first-parent chains of ``tips`` (``id``), each once: ``id``.
+
+    Chain pieces are merged before they are resolved, so that histories shared by
+    many tips are not listed per tip.
+    """
+    tree = cut(hierarchy(first_parents(commits)), "first-parents")
+    pieces = tree.join(tips.select("id").distinct(), "id", "left_semi").where(F.col("segments").isNotNull()).select(F.explode("segments").alias("s"))
+    upto = pieces.groupBy(F.col("s.head").alias("head")).agg(F.max("s.upto").alias("end"))
+    found = chain_members(tree).join(upto, "head").where(F.col("upto") <= F.col("end")).select("id")
+    wanted, met = _circling(commits, tree, tips)
+    return found if met is None else found.unionByName(met.join(wanted, "tip", "left_semi").select("id").distinct())
 
 
 class Compressed:

@@ -1 +1,307 @@
-QUERIES = {}
+"""The engine's own queries over the repository tables, one per operator."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataforge.functions import chunking, glob
+from strataforge.functions.normal import counting_rows, key
+from strataforge.operators import blocks, diff, graph, log
+from strataforge.plans.views import Repository
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+IGNORE = ["# build products", "", "shared/**", "**/*.cfg", "*/scripts/**/*.txt", "**/tests/**"]
+
+
+def query(f: Callable[[Repository], DataFrame]) -> Callable[[Repository], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf: f(Repository(spark, sf))
+    return f
+
+
+# --- blocks -----------------------------------------------------------------
+
+
+@query
+def block_reuse_summary(r: Repository) -> DataFrame:
+    return blocks.reuse_summary(r.tip_refs(), r.branches())
+
+
+@query
+def block_reuse_shared_list(r: Repository) -> DataFrame:
+    return blocks.shared_list(r.tip_refs())
+
+
+@query
+def block_list(r: Repository) -> DataFrame:
+    return blocks.inventory_report(r.tip_refs()).orderBy("hash")
+
+
+@query
+def block_list_by_branch(r: Repository) -> DataFrame:
+    return blocks.inventory(r.tip_refs()).select("hash", F.get("branches", 0).alias("first_branch")).orderBy("first_branch", "hash")
+
+
+@query
+def block_list_by_name(r: Repository) -> DataFrame:
+    return blocks.inventory(r.tip_refs()).select("hash", F.get("files", 0).alias("first_file")).orderBy("first_file", "hash")
+
+
+@query
+def block_count_tips(r: Repository) -> DataFrame:
+    return r.tip_refs().agg(F.countDistinct("hash").alias("n_blocks"))
+
+
+@query
+def block_count_history(r: Repository) -> DataFrame:
+    commits = r.commits()
+    seen = graph.history(commits, r.branches().where(F.col("tip").isNotNull()).select(F.col("tip").alias("id")))
+    sets = commits.join(seen, "id", "left_semi").where(F.col("fileset_id").isNotNull()).select("fileset_id").distinct()
+    return blocks.explode_blocks(r.entries().join(sets, "fileset_id", "left_semi")).agg(F.countDistinct("hash").alias("n_blocks"))
+
+
+@query
+def block_occurrences(r: Repository) -> DataFrame:
+    return blocks.occurrences(r.all_refs())
+
+
+@query
+def file_reuse_ratio(r: Repository) -> DataFrame:
+    return blocks.file_reuse(r.tip_refs()).withColumn("reuse_pct", F.round("reuse_pct", 6))
+
+
+@query
+def block_dedup_ratio_by_branch(r: Repository) -> DataFrame:
+    per = r.tip_refs().groupBy("branch").agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("hash").alias("n_blocks"))
+    return per.withColumn("ratio", F.round(F.col("n_refs") / F.col("n_blocks"), 6))
+
+
+@query
+def blocks_to_write(r: Repository) -> DataFrame:
+    rows = r.table("blocks").select(key(F.col("hash")).alias("hash"), "size", "deleted_at", "arrived_at")
+    store = counting_rows(rows, "hash", ["size", "deleted_at"]).where(F.col("deleted_at").isNull())
+    return blocks.to_write(r.all_refs(), store)
+
+
+@query
+def block_verify(r: Repository) -> DataFrame:
+    return blocks.verify(r.lines(), r.line_store())
+
+
+@query
+def block_verify_summary(r: Repository) -> DataFrame:
+    return block_verify(r).groupBy("status").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
+@query
+def block_verify_first_bad(r: Repository) -> DataFrame:
+    return blocks.first_bad(block_verify(r))
+
+
+@query
+def block_repair_plan(r: Repository) -> DataFrame:
+    return blocks.repair_plan(block_verify(r), r.lines())
+
+
+@query
+def check_results(r: Repository) -> DataFrame:
+    """Scan results by status in one spelling, repeated rows once."""
+    rows = r.table("block_checks").select(key(F.col("hash")).alias("hash"), F.coalesce(key(F.col("status")), F.lit("unknown")).alias("status"), "checked_at").distinct()
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n_checks"), F.countDistinct("hash").alias("n_blocks"))
+
+
+@query
+def restore_content(r: Repository) -> DataFrame:
+    store = r.lines().select("hash", "content").distinct()
+    return blocks.restore(r.lines().select("path", "seq", "hash"), store).select("path", F.md5("content").alias("content_md5"))
+
+
+@query
+def fileset_id(r: Repository) -> DataFrame:
+    return blocks.fileset_ids(r.entries())
+
+
+@query
+def fileset_id_xxh3(r: Repository) -> DataFrame:
+    return blocks.fileset_ids(r.entries(), chunking.xxh3)
+
+
+@query
+def cdc_chunks(r: Repository) -> DataFrame:
+    docs = r.table("documents").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return chunking.split_files(docs, smallest=32, largest=256, modulus=64)
+
+
+# --- status, staging, merge -------------------------------------------------
+
+
+@query
+def entry_equal(r: Repository) -> DataFrame:
+    t = diff.three_way(["branch", "path"], a=r.triple(2), b=r.triple(1))
+    return t.select("branch", "path", diff.same(F.col("a"), F.col("b")).alias("is_equal"))
+
+
+def _status(r: Repository) -> DataFrame:
+    last = r.triple(1)
+    staged = F.length("path") % 3 == 0
+    return diff.status(r.triple(2), last.where(staged), last.where(~staged), ["branch", "path"])
+
+
+@query
+def status_full(r: Repository) -> DataFrame:
+    return _status(r)
+
+
+@query
+def status_short(r: Repository) -> DataFrame:
+    return _status(r).select("branch", F.concat("staged", "unstaged", F.lit(" "), "path").alias("line"))
+
+
+@query
+def status_counts(r: Repository) -> DataFrame:
+    return _status(r).groupBy("staged", "unstaged").agg(F.count(F.lit(1)).alias("n_paths"))
+
+
+@query
+def scan_classes(r: Repository) -> DataFrame:
+    paths = r.entries().select("path").distinct()
+    hit = glob.ignored(F.col("path"), *glob.rules(IGNORE))
+    index = paths.where(F.length("path") % 2 == 0).withColumn("known", F.lit(True))
+    return paths.join(index, "path", "left").select("path", F.when(hit, "ignored").when(F.col("known"), "staged").otherwise("tracked").alias("class"))
+
+
+@query
+def add_pathspec(r: Repository) -> DataFrame:
+    return diff.pathspec(r.triple(1), "*.pak").select("branch", "path")
+
+
+@query
+def add_prefix(r: Repository) -> DataFrame:
+    return diff.pathspec(r.triple(1), "shared/").select("branch", "path")
+
+
+@query
+def add_update(r: Repository) -> DataFrame:
+    return r.triple(1).join(r.triple(2), ["branch", "path"], "left_semi").select("branch", "path")
+
+
+@query
+def index_upsert(r: Repository) -> DataFrame:
+    return diff.upsert(r.triple(2), r.triple(1), ["branch", "path"]).select("branch", "path", F.size("blocks").cast("bigint").alias("n_blocks"))
+
+
+def _verdicts(r: Repository) -> DataFrame:
+    """A merge with every kind of outcome: both sides edit the last snapshots by rule of the path."""
+    n, extra = F.length("path"), F.array(F.struct(F.lit("edited").alias("hash"), F.lit(1).cast("bigint").alias("size")))
+    edit = lambda df, every, lost: df.where(n % 7 != lost).withColumn("blocks", F.when(n % every == 0, F.concat("blocks", extra)).otherwise(F.col("blocks")))
+    last = r.triple(1)
+    return diff.merge_verdicts(r.triple(2).where(n % 7 != 0), edit(last, 5, 1), edit(last, 3, 2), ["branch", "path"])
+
+
+@query
+def merge_verdict(r: Repository) -> DataFrame:
+    return _verdicts(r).groupBy("verdict").agg(F.count(F.lit(1)).alias("n_paths"))
+
+
+@query
+def merge_result(r: Repository) -> DataFrame:
+    return diff.merged(_verdicts(r)).select("branch", "path", F.size("blocks").cast("bigint").alias("n_blocks"), "conflict")
+
+
+@query
+def merge_conflicts(r: Repository) -> DataFrame:
+    return diff.merged(_verdicts(r)).where("conflict").select("branch", "path")
+
+
+# --- log and graph ----------------------------------------------------------
+
+_at = lambda: F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("committed_at")
+
+
+@query
+def log_all(r: Repository) -> DataFrame:
+    return log.log(r.commits()).select("id", "branch", _at())
+
+
+@query
+def log_since_until(r: Repository) -> DataFrame:
+    return log.log(r.commits(), since="2023-03-01", until="2023-06-01").select("id", "branch", _at())
+
+
+@query
+def log_limit(r: Repository) -> DataFrame:
+    return log.log(r.commits(), limit=25).select("id", _at())
+
+
+@query
+def log_oneline(r: Repository) -> DataFrame:
+    return log.oneline(log.log(r.commits()))
+
+
+@query
+def log_branch(r: Repository) -> DataFrame:
+    """Newest commit and number of commits of every branch."""
+    return log.log(r.commits()).where(F.col("branch").isNotNull()).groupBy("branch").agg(F.max_by("id", F.struct("ts", "id")).alias("newest"), F.count(F.lit(1)).alias("n_commits"))
+
+
+@query
+def log_refs(r: Repository) -> DataFrame:
+    head = r.branches().agg(F.min("name")).first()[0] or ""
+    return log.with_refs(r.commits(), r.branches(), head)
+
+
+@query
+def branch_list(r: Repository) -> DataFrame:
+    return r.branches().select("name", F.coalesce("tip", F.lit("")).alias("tip")).orderBy("name")
+
+
+@query
+def tip_snapshots(r: Repository) -> DataFrame:
+    tips = r.branches().where(F.col("tip").isNotNull()).join(r.commits().select(F.col("id").alias("tip"), "fileset_id"), "tip")
+    counted = r.entries().groupBy("fileset_id").agg(F.count(F.lit(1)).alias("n_files"))
+    return tips.join(counted, "fileset_id", "left").select("name", "tip", "fileset_id", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
+def _tips(r: Repository) -> DataFrame:
+    return r.branches().where(F.col("tip").isNotNull()).select("name", "tip")
+
+
+@query
+def first_parent_chain(r: Repository) -> DataFrame:
+    return graph.first_parent_chain(r.commits(), _tips(r).select(F.col("tip").alias("id")).distinct()).select("tip", "step", "id")
+
+
+@query
+def ancestor_counts(r: Repository) -> DataFrame:
+    """Number of commits reachable from every branch tip over any parents."""
+    found = graph.Compressed(r.commits()).ancestors(_tips(r).select(F.col("name").alias("query"), F.col("tip").alias("id")))
+    return found.groupBy(F.col("query").alias("name")).agg(F.count(F.lit(1)).alias("n_ancestors"))
+
+
+@query
+def merge_base(r: Repository) -> DataFrame:
+    """Merge base of every branch with the main branch of its project."""
+    tips = _tips(r)
+    project = F.substring_index("name", "-", 1)
+    main = tips.where(F.col("name") == F.concat(project, F.lit("-main"))).select(project.alias("project"), F.col("tip").alias("a"))
+    pairs = tips.select(F.col("name").alias("query"), F.col("tip").alias("b"), project.alias("project")).join(main, "project").where(F.col("a") != F.col("b")).select("query", "a", "b")
+    return graph.Compressed(r.commits()).merge_bases(pairs).select(F.col("query").alias("name"), "base")
+
+
+@query
+def cherry_pick(r: Repository) -> DataFrame:
+    """The commit that picks the newest commit of all onto every branch: whole snapshot, not a difference."""
+    picked = r.commits().where(F.col("ts").isNotNull() & F.col("fileset_id").isNotNull()).agg(F.max(F.struct("ts", "id", "fileset_id", "message")).alias("p")).select("p.*")
+    return _tips(r).crossJoin(F.broadcast(picked)).select("name", F.col("tip").alias("parent"), F.col("id").alias("picked"), "fileset_id")
+
+
+@query
+def reset_plan(r: Repository) -> DataFrame:
+    """A mixed reset of every branch to the parent of its tip: the index it leaves."""
+    commits = r.commits()
+    back = _tips(r).join(commits.select(F.col("id").alias("tip"), F.get("parents", 0).alias("target")), "tip")
+    aim = back.join(commits.select(F.col("id").alias("target"), "fileset_id"), "target")
+    return aim.join(r.entries().select("fileset_id", "path"), "fileset_id").select("name", "target", "path")

@@ -31,7 +31,7 @@ def _class(segment: str, at: int) -> tuple[str, int]:
     ranges = 0
     while True:
         if at < n and segment[at] == "]" and ranges:
-            return out + "]", at + 1
+            return (r"[^\s\S]" if out == "[" else out + "]"), at + 1  # only empty ranges: nothing
         ends = []
         for _ in range(2):
             if at >= n or segment[at] in "]-":

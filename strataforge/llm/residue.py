@@ -10,6 +10,8 @@ one scan: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,8 @@ PLACEHOLDERS = [
 PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS)
 CODE = r"```[^`]*```|`[^`\n]*`|(?s:<code[^>]*>.*?</code>)"
 TUTORIAL = r"(?i)\b(syntax|placeholders?|template (?:language|engine|syntax)|tutorial|documentation|variables?|escaped?|is written as|angle signs|for example|e\.g\.)\b"
+#: Every placeholder holds one of these, so most texts need no grammar.
+OPENERS = r"[{%<\[]|__|@@|&lt;"
 #: Share of a tutorial sentence's words that may be placeholders.
 TUTORIAL_DENSITY = 0.34
 
@@ -102,7 +106,8 @@ LOREM_WORD = r"\b(?:" + "|".join(LOREM_ONLY.split()) + r")\b"
 DOTS = rf"^[\s *]*(?:\.{{3,}}[\s *]+){{2,}}\.{{3,}}[\s *]*{_TAIL}[\s*]*$"
 TAGS = r"(?i)</?(?:h[1-6]|p|div|b|i|em|strong|span|center|title|body|html|head|br|hr|li|ul|a|noscript)(?: [^<>]*)?/?>"
 INVISIBLE = r"[\p{Cf}]"
-BLANKS = r"[\s\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+"
+#: Runs of blanks and blanks other than one plain space.
+BLANKS = r"[\s   -   　]{2,}|[\t\x0b\x0c   -   　]"
 EDGES = r"^[\s*#>|=~_•·.!?…:,;\"'“”«»-]+|[\s*#>|=~_•·.!?…:,;\"'“”«»-]+$"
 BREAKS = r"[\n\r\x0b\x0c\u0085\u2028\u2029]+"
 SENTENCE = r"(?<=[.!?…。！？।])[\s\u00a0]+"
@@ -110,14 +115,23 @@ SENTENCE = r"(?<=[.!?…。！？।])[\s\u00a0]+"
 MESSAGE_CHARS = 320
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` (an array) with ``value`` computed once, however often it is named."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def _segments(text: Column) -> Column:
     """Lines, sentences and the whole text, lower case and stripped of decoration."""
-    shown = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), TAGS, "\n")
-    lines = F.split(shown, BREAKS)
-    sentences = F.flatten(F.transform(lines, lambda s: F.split(s, SENTENCE)))
-    whole = F.array(F.regexp_replace(shown, BREAKS, " "))
     tidy = lambda s: F.regexp_replace(F.lower(F.regexp_replace(s, BLANKS, " ")), EDGES, "")
-    return F.array_distinct(F.transform(F.concat(lines, sentences, whole), tidy))
+
+    def cut(lines: Column) -> Column:
+        sentences = F.flatten(F.transform(lines, lambda s: F.split(s, SENTENCE)))
+        # a message broken over lines; one line is the whole already
+        whole = F.when(F.size(lines) > 1, F.array(F.substring(F.array_join(lines, " "), 1, MESSAGE_CHARS + 1)))
+        return F.concat(lines, sentences, F.coalesce(whole, F.array().cast("array<string>")))
+
+    shown = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), TAGS, "\n")
+    return F.array_distinct(F.transform(_once(F.split(shown, BREAKS), cut), tidy))
 
 
 def _repeats(s: Column) -> Column:
@@ -129,7 +143,7 @@ def _repeats(s: Column) -> Column:
     words = F.split(bare, r"[\s.,;:!?]+")
     kinds = F.size(F.array_distinct(words))
     worded = bare.rlike(r"^[^0-9]*\p{L}") & (kinds <= 3)
-    head = F.split(s, " ")[0]
+    head = F.substring_index(s, " ", 1)
     often = F.length(F.replace(s, head, F.lit(""))) <= F.length(s) - 3 * F.length(head)  # cheap, decides most
     return often & (worded | (bare.rlike("^[0-9 ]+$") & (kinds == 1) & (F.length(words[0]) >= 3))) & (F.size(words) >= 3 * kinds) & (F.length(s) >= 6)
 
@@ -150,7 +164,7 @@ def has_placeholder(text: Column) -> Column:
     shown = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), CODE, " ")
     sentences = F.flatten(F.transform(F.split(shown, BREAKS), lambda s: F.split(s, SENTENCE)))
     dense = lambda s: F.size(F.split(F.regexp_replace(s, PLACEHOLDER, "\x01"), "\x01")) - 1 >= TUTORIAL_DENSITY * F.size(F.split(s, r"\s+"))
-    return F.exists(sentences, lambda s: s.rlike(PLACEHOLDER) & (~s.rlike(TUTORIAL) | dense(s)))
+    return text.rlike(OPENERS) & F.exists(sentences, lambda s: s.rlike(PLACEHOLDER) & (~s.rlike(TUTORIAL) | dense(s)))
 
 
 def residue(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -17,8 +17,6 @@ where listing ancestors per node would be quadratic.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -66,14 +64,19 @@ def _sizes(tree: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def _circles(tree: DataFrame, circling: DataFrame) -> DataFrame:
     """``id, root_id``: the smallest id on the circle that each node runs into."""
     state = cut(tree.join(circling, "id", "left_semi").select("id", F.col("parent").alias("up"), F.least("id", "parent").alias("low")), "circles")
-    nodes = state.count()
-    # low: the smallest id on the walk of 2^k steps; after 2^k >= nodes steps a
-    # walk stands on its circle, and from there it sees the whole circle
-    for _ in range(math.ceil(math.log2(max(nodes, 2))) + 1):
+    # low: the smallest id on the walk of 2^k steps. The ends of all such walks are
+    # fewer each time until they are just the circles; once neither they nor any low
+    # change, walks end on their circle and have seen all of it.
+    ends, changed = state.count(), True
+    while changed:
         other = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("low2"))
-        after = cut(state.join(other, "up").select("id", F.col("next").alias("up"), F.least("low", "low2").alias("low")), "circles")
+        moved = state.join(other, "up").select("id", F.col("next").alias("up"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("lower"))
+        after = cut(moved, "circles")
         drop(state)
         state = after
+        now = state.agg(F.countDistinct("up").alias("ends"), F.max("lower").alias("lower")).first()
+        changed = bool(now["lower"]) or now["ends"] != ends
+        ends = now["ends"]
     return state.select("id", "up").join(state.select(F.col("id").alias("up"), F.col("low").alias("root_id")), "up").select("id", "root_id")
 
 

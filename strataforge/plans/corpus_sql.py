@@ -109,6 +109,19 @@ pick as (select root_id, first(id order by depth desc, id desc) as id from roots
 select w.id as tip_id, (f.depth - w.d)::bigint as step, w.node as commit_id
 from walk w join far f on f.id = w.id where w.id in (select id from pick)"""
 
+P4 = """
+with f as (
+  select trim(body, ' ' || chr(9) || chr(10) || chr(13) || chr(65279)) as t from loose_files
+  where body is not null and not regexp_matches(coalesce(file_name, ''), '(^|[/\\\\])\\.?tmp-[^/\\\\]*$')),
+v as (select t, json_valid(t) as whole from f),
+o as (
+  select t::json as j from v where whole and json_type(t) = 'OBJECT' union all
+  select unnest(json_extract(t, '$[*]')) from v where whole and json_type(t) = 'ARRAY' union all
+  select case when json_valid(line) then line::json end from (select trim(unnest(string_split(t, chr(10))), ' ' || chr(13)) as line from v where not whole)),
+r as (select json_extract_string(j, '$.id') as id, json_extract_string(j, '$.hash') as hash from o where json_type(j) = 'OBJECT')
+select distinct case when id is not null then 'commit' else 'block' end as record_kind, lower(trim(coalesce(id, hash))) as record_id
+from r where trim(coalesce(id, hash)) <> ''"""
+
 SQL = {
     "p1_found": f"select key_field, key_value, first_ref from ({BUSY}) where n_rows >= 20",
     "p1_counts": BUSY,
@@ -116,6 +129,7 @@ SQL = {
     "p2_summary": f"select fileset_id, change_kind, count(*) as n_paths from ({P2}) group by all",
     "p3_found": P3,
     "p3_counts": f"select ref_field, ref_month, ref_state, count(*) as n_refs, count(distinct target_key) as n_targets from ({P3}) group by all",
+    "p4_found": P4,
     "p5_found": P5,
     "p5_descendants": P5_DESCENDANTS,
     "p5_tip_paths": P5_TIPS,

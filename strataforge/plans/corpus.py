@@ -156,14 +156,13 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_tip_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Full path of every branch tip, as ids from the root, one row per step.
+    """Full path of every branch tip outside circles, as ids from the root, one row per step.
 
-    The tree is written before it is read three times.
+    The tree is written before it is read twice.
     """
     tree = cut(commit_tree(spark, sf), "commit-tree")
     tips = table(spark, sf, "branches").select(key(F.col("tip")).alias("id")).where(F.col("id").isNotNull())
-    deepest = tree.join(tips, "id", "left_semi").groupBy("root_id").agg(F.max_by("id", F.struct("depth", "id")).alias("id"))
-    return hierarchy.paths(tree, deepest).select(F.col("id").alias("tip_id"), F.col("step").cast("bigint").alias("step"), F.col("node").alias("commit_id"))
+    return hierarchy.paths(tree, tips).select(F.col("id").alias("tip_id"), F.col("step").cast("bigint").alias("step"), F.col("node").alias("commit_id"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_summary, p3_found, p3_counts, p4_found, p4_records, p5_found, p5_descendants, p5_tip_paths)}

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from strataforge.operators import graph, hierarchy
+from strataforge.plans import corpus
 
 
 def brute(parent):
@@ -59,6 +60,19 @@ def test_hierarchy_and_its_paths(spark):
     assert under == {v: {u for u, w in want.items() if w[2] and v in w[2][:-1]} for v in ("t1-00", "c290")}
 
 
+def test_paths_of_all_tips(spark, tmp_path):
+    parent = forest()
+    rows = [(k, [p] if p else [], None) for k, p in parent.items()]
+    tips = ["c299", "c150", " C010", "c010", "t3-39", "t3-20", "t3-00", "s100", "s101", "x1", "z", "self", "nowhere", "", None]
+    spark.createDataFrame(rows, "id string, parents array<string>, arrived_at timestamp").write.parquet(f"{tmp_path}/commits.parquet")
+    spark.createDataFrame([(t,) for t in tips], "tip string").write.parquet(f"{tmp_path}/branches.parquet")
+    got = {}
+    for r in corpus.p5_tip_paths(spark, str(tmp_path)).orderBy("tip_id", "step").collect():
+        got.setdefault(r["tip_id"], []).append((r["step"], r["commit_id"]))
+    want = brute(parent)
+    assert got == {t: list(enumerate(want[t][2])) for t in ("c299", "c150", "c010", "t3-39", "t3-20", "t3-00", "s100", "s101")}
+
+
 def test_no_links(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], "id string, parent string")).collect() == []
 

@@ -155,6 +155,16 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return commit_tree(spark, sf).where(F.col("depth") >= 0).select("id", "n_descendants", (F.col("depth") + 1).alias("path_length"))
 
 
+def p5_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+    """Full path and all descendants of every commit, compressed.
+
+    ``segments``: the path as chain pieces ``(head, upto)``; the descendants are the
+    ids of the same root whose ``first`` lies after ``first`` and up to ``last``.
+    Null for commits on or leading into circles.
+    """
+    return commit_tree(spark, sf).select("id", "root_id", "segments", "first", "last")
+
+
 def p5_tip_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Full path of every branch tip outside circles, as ids from the root, one row per step.
 
@@ -165,4 +175,4 @@ def p5_tip_paths(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.paths(tree, tips).select(F.col("id").alias("tip_id"), F.col("step").cast("bigint").alias("step"), F.col("node").alias("commit_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_summary, p3_found, p3_counts, p4_found, p4_records, p5_found, p5_descendants, p5_tip_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_summary, p3_found, p3_counts, p4_found, p4_records, p5_found, p5_descendants, p5_hierarchy, p5_tip_paths)}

@@ -73,6 +73,22 @@ def test_paths_of_all_tips(spark, tmp_path):
     assert got == {t: list(enumerate(want[t][2])) for t in ("c299", "c150", "c010", "t3-39", "t3-20", "t3-00", "s100", "s101")}
 
 
+def test_every_path_and_all_descendants(spark, tmp_path):
+    parent = forest()
+    rows = [(k, [p] if p else [], None) for k, p in parent.items()]
+    spark.createDataFrame(rows, "id string, parents array<string>, arrived_at timestamp").write.parquet(f"{tmp_path}/commits.parquet")
+    got = {r["id"]: r for r in corpus.QUERIES["p5_hierarchy"](spark, str(tmp_path)).collect()}
+    want = brute(parent)
+    assert {k: r["root_id"] for k, r in got.items()} == {k: w[0] for k, w in want.items()}
+    assert all(r["segments"] is r["first"] is r["last"] is None for k, r in got.items() if want[k][1] < 0)
+    inside = {k: r for k, r in got.items() if want[k][1] >= 0}
+    node = {tuple(r["segments"][-1]): k for k, r in inside.items()}
+    path = lambda r: [node[s["head"], at] for s in r["segments"] for at in range(s["upto"] + 1)]
+    assert {k: path(r) for k, r in inside.items()} == {k: want[k][2] for k in inside}
+    below = {k: {u for u, x in inside.items() if x["root_id"] == r["root_id"] and r["first"] < x["first"] <= r["last"]} for k, r in inside.items()}
+    assert below == {k: {u for u in inside if k in want[u][2][:-1]} for k in inside}
+
+
 def test_no_links(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], "id string, parent string")).collect() == []
 

@@ -87,7 +87,9 @@ TUTORIAL_DENSITY = 0.34
 _CODE_NO = r"[1-5]\d\d"
 _REASON = "(?:" + "|".join(REASONS) + ")"
 _PREFIX = r"(?:http(?:/\d(?:\.\d)?)?(?: status| error)?|status(?: code)?|(?:server )?error(?: code)?|fehler|erreur|error|ошибка|błąd|hata|errore|erro|σφάλμα|त्रुटि|エラー|错误|خطأ|server responded with status|(?:the )?server returned(?: an)?(?: error| status)?|code)"
-_TAIL = r"(?:[ |*,;-]*(?:retry|back to home(?: ?page)?|go back|home|nginx(?:/[\d.]+)?|apache(?:/[\d.]+)?(?: server)?|cloudflare|\(c\) all rights reserved|© .{0,40}|all rights reserved|reference:? #?[0-9a-z.-]+|request id:? #?[0-9a-f-]+|ray id:? [0-9a-f]+))*"
+#: Runs of these are taken possessively, so that long ones do not recurse.
+_PLAIN_TAIL = r"retry|back to home(?: ?page)?|go back|home|nginx(?:/[\d.]+)?|apache(?:/[\d.]+)?(?: server)?|cloudflare|\(c\) all rights reserved|all rights reserved"
+_TAIL = rf"(?:[ |*,;-]*(?:{_PLAIN_TAIL}))*+(?:[ |*,;-]*(?:{_PLAIN_TAIL}|© .{{0,40}}|reference:? #?[0-9a-z.-]+|request id:? #?[0-9a-f-]+|ray id:? [0-9a-f]+))*"
 STATUS = "|".join(
     [
         rf"(?:{_PREFIX}[ :]*)?\(?{_CODE_NO}\)?[ :|=.–—-]*{_REASON}",
@@ -100,7 +102,9 @@ STATUS = "|".join(
 _BODY = "|".join(f"(?:{x})" for x in [STATUS, *FILLERS, *ERRORS, *NOTICES])
 #: A code after a message: "page introuvable (erreur 404)".
 WHOLE = rf"^(?:{_BODY})(?: ?\((?:{_PREFIX} ?)?{_CODE_NO}\))?{_TAIL}$"
-LOREM_LINE = r"^(?:(?:" + "|".join(LOREM.split()) + rf")[ ,.;:-]*)+{_TAIL}$"
+_LOREM = "(?:" + "|".join(LOREM.split()) + ")"
+#: Possessive between blanks, so that long filler does not recurse word after word.
+LOREM_LINE = rf"^(?={_LOREM})(?:(?:{_LOREM}[,.;:-]*)+(?: [ ,.;:-]*|$))*+(?:{_LOREM}[,.;:-]*)*{_TAIL}$"
 LOREM_WORD = r"\b(?:" + "|".join(LOREM_ONLY.split()) + r")\b"
 #: A line of dots only, group after group.
 DOTS = rf"^[\s *]*(?:\.{{3,}}[\s *]+){{2,}}\.{{3,}}[\s *]*{_TAIL}[\s*]*$"
@@ -127,7 +131,7 @@ def _segments(text: Column) -> Column:
     def cut(lines: Column) -> Column:
         sentences = F.flatten(F.transform(lines, lambda s: F.split(s, SENTENCE)))
         # a message broken over lines; one line is the whole already
-        whole = F.when(F.size(lines) > 1, F.array(F.substring(F.array_join(lines, " "), 1, MESSAGE_CHARS + 1)))
+        whole = F.when(F.size(lines) > 1, F.array(F.array_join(lines, " ")))
         return F.concat(lines, sentences, F.coalesce(whole, F.array().cast("array<string>")))
 
     shown = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), TAGS, "\n")

@@ -135,6 +135,15 @@ def test_residue(spark):
     assert residue.found(df.where(F.lit(False))).collect() == []
 
 
+def test_residue_over_all_lines(spark):
+    """The whole of a long text counts, not its beginning."""
+    words = residue.LOREM.split()
+    bad = ["\n".join(words), "\n".join(words * 300), "\n".join(["foo", "bar"] * 200), "yes\n" + " " * 400 + "\nyes\n\nyes", "\n".join(words[:60]) + "\n| retry", "foo\n" * 3 + "retry\n" * 5000]
+    good = ["foo\nbar\n" * 60 + "\n".join(f"then the clerk wrote letter {i}" for i in range(9)), "\n".join(words) + "\nis what a printer sets"]
+    df = spark.createDataFrame([(i, t, 1, "c", 1) for i, t in enumerate(bad + good)], SCHEMA)
+    assert sorted(r["doc_id"] for r in residue.found(df).collect()) == list(range(len(bad)))
+
+
 def test_token_counts(spark, merges, public):
     df = spark.createDataFrame([(1, "a b a", 1, "", 1), (2, None, 1, "", 1)], SCHEMA)
     got = {r["token_id"]: r["n"] for r in tokens.token_counts(tokens.encode(df, merges)).collect()}

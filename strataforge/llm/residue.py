@@ -115,6 +115,7 @@ BLANKS = r"[\s   -   　]{2,}|[\t\x0b\x0c   -   　]"
 EDGES = r"^[\s*#>|=~_•·.!?…:,;\"'“”«»-]+|[\s*#>|=~_•·.!?…:,;\"'“”«»-]+$"
 BREAKS = r"[\n\r\x0b\x0c\u0085\u2028\u2029]+"
 SENTENCE = r"(?<=[.!?…。！？।])[\s\u00a0]+"
+WORD_ENDS = r"[\s.,;:!?]+"
 #: Longer segments are no messages; anchored grammars would only waste time on them.
 MESSAGE_CHARS = 320
 
@@ -144,10 +145,10 @@ def _repeats(s: Column) -> Column:
     Numbers count only as one number over and over.
     """
     bare = F.regexp_replace(F.regexp_replace(s, _TAIL + "$", ""), EDGES, "")
-    words = F.split(bare, r"[\s.,;:!?]+")
+    words = F.split(bare, WORD_ENDS)
     kinds = F.size(F.array_distinct(words))
     worded = bare.rlike(r"^[^0-9]*\p{L}") & (kinds <= 3)
-    head = F.substring_index(s, " ", 1)
+    head = F.split(s, WORD_ENDS, 2)[0]
     often = F.length(F.replace(s, head, F.lit(""))) <= F.length(s) - 3 * F.length(head)  # cheap, decides most
     return often & (worded | (bare.rlike("^[0-9 ]+$") & (kinds == 1) & (F.length(words[0]) >= 3))) & (F.size(words) >= 3 * kinds) & (F.length(s) >= 6)
 

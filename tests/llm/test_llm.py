@@ -144,6 +144,13 @@ def test_residue_over_all_lines(spark):
     assert sorted(r["doc_id"] for r in residue.found(df).collect()) == list(range(len(bad)))
 
 
+def test_residue_repeats_with_punctuation(spark):
+    bad = ["foo, foo, foo", "asdf,asdf,asdf,asdf", "Test! Test! Test!", "foo, bar, foo, bar, foo, bar"]
+    good = ["foo, foo", "one, two, three", "A foo, a bar, and a foo.", "1,234,567"]
+    df = spark.createDataFrame([(i, t, 1, "c", 1) for i, t in enumerate(bad + good)], SCHEMA)
+    assert sorted(r["doc_id"] for r in residue.found(df).collect()) == list(range(len(bad)))
+
+
 def test_token_counts(spark, merges, public):
     df = spark.createDataFrame([(1, "a b a", 1, "", 1), (2, None, 1, "", 1)], SCHEMA)
     got = {r["token_id"]: r["n"] for r in tokens.token_counts(tokens.encode(df, merges)).collect()}

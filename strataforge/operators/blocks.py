@@ -35,10 +35,15 @@ def inventory(refs: DataFrame) -> DataFrame:
 
 
 def inventory_report(refs: DataFrame) -> DataFrame:
-    """The inventory as text columns, long file lists shortened in the middle."""
+    """The inventory as text columns; of the files only the first, shortened in the middle."""
     return inventory(refs).select("hash", "size", F.size("files").cast("bigint").alias("n_files"), shorten(F.get("files", 0), 40).alias("first_file"), F.array_join("branches", ",").alias("branches"))
 
 
+def inventory_listing(refs: DataFrame) -> DataFrame:
+    """``hash, files, branches``: all of them joined, long lists shortened in the middle."""
+    return inventory(refs).select("hash", *[shorten(F.array_join(c, ","), 70).alias(c) for c in ("files", "branches")])
+
+
 def occurrences(refs: DataFrame) -> DataFrame:
     """Per hash: occurrences, different files and branches; counts only, no lists."""
     return refs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("n_files"), F.countDistinct("branch").alias("n_branches"))

@@ -40,6 +40,12 @@ def block_list(r: Repository) -> DataFrame:
     return blocks.inventory_report(r.tip_refs()).orderBy("hash")
 
 
+@query
+def block_list_all_files(r: Repository) -> DataFrame:
+    """The block list with every file and branch of a block, as the reference prints it."""
+    return blocks.inventory_listing(r.tip_refs()).orderBy("hash")
+
+
 @query
 def block_list_by_branch(r: Repository) -> DataFrame:
     return blocks.inventory(r.tip_refs()).select("hash", F.get("branches", 0).alias("first_branch")).orderBy("first_branch", "hash")

@@ -11,6 +11,7 @@ from strataforge.functions import chunking, glob
 from strataforge.functions.normal import counting_rows, key
 from strataforge.operators import blocks, diff, graph, log
 from strataforge.plans.views import Repository
+from strataforge.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -171,6 +172,21 @@ def status_counts(r: Repository) -> DataFrame:
     return _status(r).groupBy("staged", "unstaged").agg(F.count(F.lit(1)).alias("n_paths"))
 
 
+@query
+def status_snapshots(r: Repository) -> DataFrame:
+    """Status over whole snapshots: the third last is committed, the second last staged, the last in the tree."""
+    return diff.status(r.triple(3), r.triple(2), r.triple(1), ["branch", "path"])
+
+
+@query
+def scan_classes_snapshots(r: Repository) -> DataFrame:
+    """Classes of all paths, the index being the last snapshots."""
+    paths = r.entries().select("path").distinct()
+    index = r.triple(1).select("path").distinct().withColumn("known", F.lit(True))
+    hit = glob.ignored(F.col("path"), *glob.rules(IGNORE))
+    return paths.join(index, "path", "left").select("path", F.when(hit, "ignored").when(F.col("known"), "staged").otherwise("tracked").alias("class"))
+
+
 @query
 def scan_classes(r: Repository) -> DataFrame:
     paths = r.entries().select("path").distinct()
@@ -287,14 +303,46 @@ def ancestor_counts(r: Repository) -> DataFrame:
     return found.groupBy(F.col("query").alias("name")).agg(F.count(F.lit(1)).alias("n_ancestors"))
 
 
-@query
-def merge_base(r: Repository) -> DataFrame:
-    """Merge base of every branch with the main branch of its project."""
+def _merge_pairs(r: Repository) -> DataFrame:
+    """``query, a, b``: tips of the main branch of its project (``a``) and of every branch (``b``)."""
     tips = _tips(r)
     project = F.substring_index("name", "-", 1)
     main = tips.where(F.col("name") == F.concat(project, F.lit("-main"))).select(project.alias("project"), F.col("tip").alias("a"))
-    pairs = tips.select(F.col("name").alias("query"), F.col("tip").alias("b"), project.alias("project")).join(main, "project").where(F.col("a") != F.col("b")).select("query", "a", "b")
-    return graph.Compressed(r.commits()).merge_bases(pairs).select(F.col("query").alias("name"), "base")
+    return tips.select(F.col("name").alias("query"), F.col("tip").alias("b"), project.alias("project")).join(main, "project").where(F.col("a") != F.col("b")).select("query", "a", "b")
+
+
+@query
+def merge_base(r: Repository) -> DataFrame:
+    """Merge base of every branch with the main branch of its project."""
+    return graph.Compressed(r.commits()).merge_bases(_merge_pairs(r)).select(F.col("query").alias("name"), "base")
+
+
+def _tip_verdicts(r: Repository) -> DataFrame:
+    """Every branch merged into the main branch of its project, from their merge base.
+
+    Without a base everything is new on both sides; a merge that lacks one of its
+    snapshots cannot be made and is passed over.
+    """
+    pairs = _merge_pairs(r)
+    bases = graph.Compressed(r.commits()).merge_bases(pairs).select("query", "base")
+    merges = pairs.join(bases, "query", "left")
+    sides = merges.select("query", F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("id")) for n, c in (("base", "base"), ("ours", "a"), ("theirs", "b"))])).alias("s")).select("query", "s.*")
+    sides = sides.where(F.col("id").isNotNull())
+    known = r.snapshots().select("fileset_id").withColumn("here", F.lit(True))
+    sets = cut(sides.join(r.commits().select("id", "fileset_id"), "id", "left").join(known, "fileset_id", "left"), "merge-sides")
+    whole = sets.groupBy("query").agg(F.count_if(F.col("here").isNull()).alias("lacking")).where(F.col("lacking") == 0)
+    rows = cut(sets.join(whole, "query", "left_semi").join(r.entries().select("fileset_id", "path", "blocks"), "fileset_id").select(F.col("query").alias("branch"), "side", "path", "blocks"), "merge-entries")
+    return diff.merge_verdicts(*[rows.where(F.col("side") == n).select("branch", "path", "blocks") for n in ("base", "ours", "theirs")], ["branch", "path"])
+
+
+@query
+def merge_tips_verdict(r: Repository) -> DataFrame:
+    return _tip_verdicts(r).groupBy("branch", "verdict").agg(F.count(F.lit(1)).alias("n_paths"))
+
+
+@query
+def merge_tips_result(r: Repository) -> DataFrame:
+    return diff.merged(_tip_verdicts(r)).select("branch", "path", F.size("blocks").cast("bigint").alias("n_blocks"), "conflict")
 
 
 @query

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataforge.llm import leaks, residue, tokens
+from tests.llm import residue_heldout
 
 tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id bigint, text string, chunk int, word string, item_id bigint"
@@ -155,3 +157,25 @@ def test_token_counts(spark, merges, public):
     df = spark.createDataFrame([(1, "a b a", 1, "", 1), (2, None, 1, "", 1)], SCHEMA)
     got = {r["token_id"]: r["n"] for r in tokens.token_counts(tokens.encode(df, merges)).collect()}
     assert got == dict(Counter(public("a b a")))
+
+
+@pytest.mark.parametrize(("residue_texts", "kept_texts"), [(residue_heldout.RESIDUE, residue_heldout.TEXT), (residue_heldout.RESIDUE_2, residue_heldout.TEXT_2)])
+def test_residue_recall_and_precision(spark, residue_texts, kept_texts):
+    n = len(residue_texts)
+    df = spark.createDataFrame(list(enumerate(residue_texts + kept_texts)), "doc_id int, text string")
+    got = [r["doc_id"] for r in residue.found(df).collect()]
+    right = sum(i < n for i in got)
+    assert right >= 0.9 * n
+    assert right >= 0.9 * len(got)
+
+
+def test_residue_of_long_lines(spark):
+    """One line of a million characters neither recurses nor backtracks, and is tested as a whole."""
+    n = 1_000_000
+    bad = ["lorem ipsum dolor sit amet " * (n // 27), "not found " + "retry " * (n // 6), "javascript is off " * (n // 18), "... " * (n // 4), "Fatal error: " + "x" * 390, "Traceback (most recent call last): " + "y " * 300, "foo bar " * (n // 8)]
+    good = ["-" * n, "=" * n, "a" * n, "{{ " * (n // 3), "```" + " ` " * (n // 3), "<code>" * (n // 6) + "{{ name", "{aB" * (n // 3), "A fine sentence, " * 3 + "and " + "- " * (n // 2)]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "doc_id int, text string").repartition(4)
+    residue.found(df.limit(1)).collect()
+    began = time.monotonic()
+    assert sorted(r["doc_id"] for r in residue.found(df).collect()) == list(range(len(bad)))
+    assert time.monotonic() - began < 30

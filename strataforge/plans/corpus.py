@@ -50,6 +50,11 @@ def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
     return key_summary(spark, sf).select("key_field", "key_value", "n_rows", "first_ref", "last_ref")
 
 
+def p1_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Longest time, in microseconds, between references to a key that follow each other."""
+    return key_summary(spark, sf).where(F.col("longest_gap").isNotNull()).select("key_field", "key_value", "longest_gap")
+
+
 # --- p2: what changed between full snapshots --------------------------------
 
 
@@ -103,16 +108,19 @@ def reference_targets(commits: DataFrame, filesets: DataFrame, blocks: DataFrame
     return all_of.select("ref_field", "target_key", "first_arrived", "deleted_at")
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     commits, refs = table(spark, sf, "commits"), table(spark, sf, "block_refs")
-    keys, n = orphans.heavy_keys(raw_references(commits, refs))
     targets = reference_targets(commits, table(spark, sf, "filesets"), table(spark, sf, "blocks"))
-    return orphans.unresolved(references(commits, refs), targets, keys, n)
+    return references(commits, refs), targets, orphans.heavy_keys(raw_references(commits, refs))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return orphans.unresolved(*_orphans(spark, sf))
 
 
 def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orphan references per field, month and state."""
-    return orphans.orphan_counts(p3_found(spark, sf))
+    return orphans.orphan_counts(*_orphans(spark, sf))
 
 
 # --- p4: far too many small files -------------------------------------------
@@ -175,4 +183,4 @@ def p5_tip_paths(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.paths(tree, tips).select(F.col("id").alias("tip_id"), F.col("step").cast("bigint").alias("step"), F.col("node").alias("commit_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_summary, p3_found, p3_counts, p4_found, p4_records, p5_found, p5_descendants, p5_hierarchy, p5_tip_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_gaps, p2_found, p2_summary, p3_found, p3_counts, p4_found, p4_records, p5_found, p5_descendants, p5_hierarchy, p5_tip_paths)}

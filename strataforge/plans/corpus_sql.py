@@ -32,10 +32,16 @@ f as (
   from (select {key('hash')} as ref, checked_at as seen_at, unnest(files) as f from block_checks)
   where f is not null and {path('f')} <> '' and ref is not null),
 u as (select 'hash' as key_field, key_value, ref, seen_at from h union all select 'file', key_value, ref, seen_at from f)
+"""
+BUSY_KEYS = BUSY + """
 select key_field, key_value, count(*) as n_rows,
   first(ref order by seen_at asc nulls last, ref asc nulls last) as first_ref,
   first(ref order by seen_at desc nulls last, ref desc nulls last) as last_ref
 from u group by all"""
+P1_GAPS = BUSY + """
+select key_field, key_value, max(gap) as longest_gap from (
+  select key_field, key_value, epoch_us(seen_at) - lag(epoch_us(seen_at)) over (partition by key_field, key_value order by seen_at nulls last, ref) as gap from u)
+where gap is not null group by all"""
 
 P2 = f"""
 with src as (
@@ -123,8 +129,9 @@ select distinct case when id is not null then 'commit' else 'block' end as recor
 from r where trim(coalesce(id, hash)) <> ''"""
 
 SQL = {
-    "p1_found": f"select key_field, key_value, first_ref from ({BUSY}) where n_rows >= 20",
-    "p1_counts": BUSY,
+    "p1_found": f"select key_field, key_value, first_ref from ({BUSY_KEYS}) where n_rows >= 20",
+    "p1_counts": BUSY_KEYS,
+    "p1_gaps": P1_GAPS,
     "p2_found": P2,
     "p2_summary": f"select fileset_id, change_kind, count(*) as n_paths from ({P2}) group by all",
     "p3_found": P3,

@@ -41,6 +41,29 @@ def test_numbers_are_gapless_and_chunks_equal(spark):
     assert sizes["cold", 0] == 3
 
 
+def test_numbers_follow_the_order_over_all_parts(spark):
+    """Nulls come last; copies of one row, a third of all, count once."""
+    rows = [("hot", T0 + timedelta(seconds=i * 37 % 2000) if i % 50 else None, f"r{i % 13}", i * 7919, i, None, None) for i in range(3000)]
+    rows += [rows[1]] * 1500
+    df = spark.createDataFrame(rows, SCHEMA).drop("n_rows", "chunk_no").repartition(5)
+    got = sorted((r["row_no"], r["at"], r["ref"]) for r in keychunks.number_rows(df, ["k"], ["at", "ref"], ["fp1", "fp2"], chunk_rows=50).collect() if r["at"])
+    assert [n for n, _, _ in got] == list(range(1, len(got) + 1))
+    assert [x[1:] for x in got] == sorted(x[1:] for x in got)
+    state = keychunks.key_states(df, ["k"], "at", "ref", ["fp1", "fp2"], chunk_rows=50).first()
+    times = sorted(x[1] for x in {r[:5] for r in rows} if x[1])
+    assert state["n_rows"] == 3000
+    assert state["longest_gap"] == max((b - a) / timedelta(microseconds=1) for a, b in zip(times, times[1:]))
+
+
+def test_more_heavy_keys_than_parts(spark, monkeypatch):
+    monkeypatch.setattr(keychunks, "MAX_PARTS", 8)
+    monkeypatch.setattr(keychunks, "CUT_BLOCK", 4)
+    rows = [(f"k{i % 20}" if i % 2 else "hot", T0 + timedelta(seconds=i * 7919 % 5003), f"r{i}", i * 31, i, None, None) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).drop("n_rows", "chunk_no")
+    got = {r["k"]: (r["n_rows"], r["first_ref"]) for r in keychunks.key_states(df, ["k"], "at", "ref", ["fp1", "fp2"], chunk_rows=20).collect()}
+    assert got == brute(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA).drop("n_rows", "chunk_no")
     assert keychunks.key_states(df, ["k"], "at", "ref", ["fp1", "fp2"]).collect() == []

@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import datetime, timedelta
 
 from strataforge.operators import orphans
@@ -13,9 +14,11 @@ def test_heavy_and_light_keys_agree(spark):
     refs = spark.createDataFrame(refs, "ref_field string, record_id string, target_key string, ref_month string, ref_arrived timestamp")
     targets = spark.createDataFrame(targets, "ref_field string, target_key string, first_arrived timestamp, deleted_at timestamp")
     plain = sorted(map(tuple, orphans.unresolved(refs, targets).collect()))
-    keys, n = orphans.heavy_keys(refs.where("target_key is not null"), heavy_rows=20)
-    assert n > 0
-    assert sorted(map(tuple, orphans.unresolved(refs, targets, keys, n).collect())) == plain
+    keys = orphans.heavy_keys(refs.where("target_key is not null"), heavy_rows=20)
+    assert keys.count() > 0
+    assert sorted(map(tuple, orphans.unresolved(refs, targets, keys).collect())) == plain
+    counts = Counter((r[0], r[3], r[4]) for r in plain)
+    assert {(r[0], r[1], r[2]): r["n_refs"] for r in orphans.orphan_counts(refs, targets, keys).collect()} == counts
     states = {(r[2], r[4]) for r in plain}
     assert states == {("gone", "missing"), ("k8", "missing"), ("k0", "deleted"), ("k4", "deleted"), ("k3", "late"), ("k6", "late")}
     assert len([r for r in plain if r[2] == "gone"]) == 201
@@ -39,3 +42,15 @@ def test_references_count_once_and_take_the_counting_row(spark):
     assert got == [("block_refs.hash", "f1", "h", "2024-01", T0), ("commits.fileset_id", "c1", "f", "unknown", T0), ("commits.parents", "c1", "q", "unknown", T0)]
     got = sorted(map(tuple, corpus.references(commits.limit(1), refs.limit(0)).collect()))
     assert got == [("commits.fileset_id", "c1", "f", "2024-02", T0), ("commits.parents", "c1", "p", "2024-02", T0)]
+
+
+def test_the_split_stays_on_with_more_heavy_keys_than_fit(spark, monkeypatch):
+    """Then the heaviest are taken."""
+    monkeypatch.setattr(orphans, "HEAVY_KEYS", 10)
+    sizes = {f"k{i}": 30 for i in range(40)} | {"hot": 3000}
+    rows = [("f", f"r{n}", k, "m", T0) for k, c in sizes.items() for n in range(c)]
+    refs = spark.createDataFrame(rows, "ref_field string, record_id string, target_key string, ref_month string, ref_arrived timestamp")
+    keys = orphans.heavy_keys(refs, heavy_rows=20)
+    assert [r["target_key"] for r in keys.collect()] == ["hot"]
+    targets = spark.createDataFrame([], "ref_field string, target_key string, first_arrived timestamp, deleted_at timestamp")
+    assert orphans.unresolved(refs, targets, keys).count() == len(rows)

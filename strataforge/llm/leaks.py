@@ -1,8 +1,10 @@
 """Evaluation texts inside training texts: suffix arrays over shards.
 
 Every task builds suffix arrays over shards of its documents' words and binary
-searches all suffixes of the evaluation items in them, giving the longest
-verbatim matches with their places. Nothing is shuffled but the matches. The
+searches the suffixes of the evaluation items in them, those that begin with the same
+MIN_WORDS words at once. That gives the documents and items that share a run; per such
+pair the longest verbatim match and its place follow. No pair of places is listed, so
+repeated words cost no more than others. Nothing is shuffled but the matches. The
 items are the small, fixed side; they are shipped in blocks of proven size, so
 that any number of them works.
 """
@@ -68,7 +70,22 @@ class Items:
         # suffixes long enough: no separator within MIN_WORDS
         ends = np.flatnonzero(self.flat < 0)
         room = ends[np.searchsorted(ends, np.arange(len(self.flat)))] - np.arange(len(self.flat)) if len(ends) else np.zeros(0)
-        self.starts = np.flatnonzero((self.flat > 0) & (room >= MIN_WORDS))
+        starts = np.flatnonzero((self.flat > 0) & (room >= MIN_WORDS))
+        # suffixes by their first MIN_WORDS words: one stands for all, with the items that hold it
+        grams = self.flat[starts[:, None] + np.arange(MIN_WORDS)]
+        _, first, kind = np.unique(grams, axis=0, return_index=True, return_inverse=True) if len(starts) else (None, starts, starts)
+        self.starts = starts[first]
+        held = np.unique(np.stack([kind.ravel(), self.item[starts]], axis=1), axis=0)
+        self.holders, self.holder_at = held[:, 1], np.searchsorted(held[:, 0], np.arange(len(self.starts) + 1))
+        self.words: dict[int, np.ndarray] = {}
+        for i, a, b in self._spans():  # texts of one id follow each other, 0 between
+            self.words[i] = np.concatenate([*([self.words[i], [0]] if i in self.words else []), self.flat[a:b]])
+
+    def _spans(self) -> Iterator[tuple[int, int, int]]:
+        ends = np.flatnonzero(self.flat < 0)
+        for a, b in zip(ends[:-1] + 1, ends[1:]):
+            if b > a:
+                yield int(self.item[a]), int(a), int(b)
 
 
 def suffix_array(numbers: np.ndarray, depth: int) -> np.ndarray:
@@ -114,6 +131,42 @@ def _bound(docs: np.ndarray, suffixes: np.ndarray, items: Items, upper: bool) ->
     return low
 
 
+def longest_run(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+    """Length and places (document, item; the first ones) of the longest common run.
+
+    Ranks of runs of 2^k words by doubling name the runs of any length, a binary
+    search over lengths finds the longest; near-linear whatever repeats.
+    """
+    # unknown words (0) and the ends equal nothing
+    both = np.concatenate([doc, [0], item, [0]])
+    lone = np.flatnonzero(both <= 0)
+    both = both.copy()
+    both[lone] = both.max(initial=0) + 1 + np.arange(len(lone))
+    ranks, width = [both], 1
+    while 2 * width <= min(len(doc), len(item)):
+        last = ranks[-1]
+        pairs = last[:-width] * (int(last.max()) + 1) + last[width:]
+        ranks.append(np.unique(pairs, return_inverse=True)[1])
+        width *= 2
+
+    def shared(n: int) -> tuple[int, int] | None:
+        k = n.bit_length() - 1
+        rank, size = ranks[k], len(both) - n + 1
+        names = rank[:size] * (int(rank.max()) + 1) + rank[n - (1 << k) : n - (1 << k) + size]
+        mine, theirs = names[: len(doc) - n + 1], names[len(doc) + 1 : len(doc) + 1 + len(item) - n + 1]
+        hit = np.flatnonzero(np.isin(mine, theirs))
+        return (int(hit[0]), int(np.flatnonzero(theirs == mine[hit[0]])[0])) if len(hit) else None
+
+    low, high, best = 0, min(len(doc), len(item)), None
+    while low < high:
+        middle = (low + high + 1) // 2
+        if (found := shared(middle)) is None:
+            high = middle - 1
+        else:
+            low, best = middle, found
+    return (low, *(best or (0, 0)))
+
+
 def search(ids: list, texts: list, items: Items) -> pd.DataFrame:
     """Longest verbatim matches between a shard of documents and all items."""
     get = items.numbers.get
@@ -128,29 +181,25 @@ def search(ids: list, texts: list, items: Items) -> pd.DataFrame:
         flat.extend([get(w, 0) for w in words])
         flat.append(0)
     docs = np.array(flat + [0] * (items.longest + 1), dtype=np.int64)
-    empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("doc_id", "item_id", "n_words", "doc_word", "item_word")})
+    columns = ["doc_id", "item_id", "n_words", "doc_word", "item_word"]
     if not owner or not len(items.starts):
-        return empty
-    suffixes = suffix_array(docs, items.longest)
+        return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
+    suffixes = suffix_array(docs, MIN_WORDS)
     low, high = _bound(docs, suffixes, items, False), _bound(docs, suffixes, items, True)
     count = high - low
-    if not count.any():
-        return empty
-    where = np.repeat(items.starts, count)
+    # every place of a document has one kind of run, so this is no longer than the shard
+    kind = np.repeat(np.arange(len(count)), count)
     at = suffixes[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    maximal = docs[at - 1] != items.flat[where - 1]  # else the match one word earlier holds it
-    where, at = where[maximal], at[maximal]
-    length = np.full(len(at), MIN_WORDS)
-    grow = np.arange(len(at))
-    while grow.size:
-        end_d, end_i = at[grow] + length[grow], where[grow] + length[grow]
-        grow = grow[docs[end_d] == items.flat[end_i]]
-        length[grow] += 1
-    first_at = np.array(first)
-    doc = np.searchsorted(first_at, at, side="right") - 1
-    rows = pd.DataFrame({"n": np.array(owner)[doc], "item_id": items.item[where], "n_words": length, "doc_word": at - first_at[doc], "item_word": items.place[where]})
-    rows = rows.sort_values(["n", "item_id", "n_words", "doc_word", "item_word"], ascending=[True, True, False, True, True]).drop_duplicates(["n", "item_id"])
-    return pd.DataFrame({"doc_id": pd.Series([ids[n] for n in rows["n"]], dtype="object").to_numpy(), "item_id": rows["item_id"].to_numpy(), "n_words": rows["n_words"].to_numpy(), "doc_word": rows["doc_word"].to_numpy(), "item_word": rows["item_word"].to_numpy()})
+    first_at = np.array([*first, len(flat)])
+    pairs = np.unique(np.stack([np.searchsorted(first_at, at, side="right") - 1, kind], axis=1), axis=0)
+    found: dict[int, set[int]] = {}
+    for doc, k in pairs.tolist():
+        found.setdefault(doc, set()).update(items.holders[items.holder_at[k] : items.holder_at[k + 1]].tolist())
+    rows = []
+    for doc, held in found.items():
+        words = docs[first_at[doc] : first_at[doc + 1] - 1]
+        rows += [(ids[owner[doc]], i, *longest_run(words, items.words[i])) for i in sorted(held)]
+    return pd.DataFrame(rows, columns=columns)
 
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -197,6 +246,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n_words").alias("n_words"), (-F.col("b.d")).alias("doc_word"), (-F.col("b.i")).alias("item_word"))
 
 
-def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the affected documents (all columns kept)."""
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without those that hold a passage of ``items``; all columns and repeated rows kept.
+
+    Documents without an id are searched under a hash of their text.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    clean = named.join(leaks(named, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    lone = docs.where(F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64("text"))
+    hit = leaks(lone.select(F.col("_hash").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_hash")).distinct()
+    return clean.unionByName(lone.join(hit, "_hash", "left_anti").select(*docs.columns))

@@ -6,14 +6,15 @@ positions applies every merge in rank order. A merge visits only the positions
 the index names and re-indexes only the two touched neighbours. A word that
 occurs in a billion documents is merged once.
 
-Documents are handled in chunks of bounded text size; per chunk the different
-words are joined with their ids (a word counts once per chunk, so the most
-frequent word is no hot key), and the chunk's documents are assembled from that
-dictionary.
+The texts are split once: documents are handled in chunks of bounded text size, each
+with a dictionary of its different words, and a document becomes the numbers of its
+words there. The dictionaries are joined with the words' ids, words of very many
+chunks by broadcast, and the chunk's documents are assembled from numbers alone.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -22,17 +23,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataforge.session import cut
+
 try:
     from tokenizers.pre_tokenizers import ByteLevel
-
-    _splitter = ByteLevel(add_prefix_space=False)
-except ImportError:  # the split below differs only in letters newer than the library
-    _splitter = None
+except ImportError:
+    ByteLevel = None
 
 #: Where the vocabulary lies unless a path is given.
 VOCABULARY = os.environ.get("STRATAFORGE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
@@ -41,9 +41,10 @@ CHUNK_CHARS, CHUNK_ROWS = 2_000_000, 8192
 #: Characters of words that one replay holds in memory.
 REPLAY_CHARS = 1_500_000
 
-# fixed values: the split pattern of the vocabulary
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_pattern = regex.compile(PATTERN)
+#: Words of more chunks than this may be broadcast, and how many such words at most.
+HEAVY_CHUNKS, HEAVY_WORDS = 64, 20_000
+
+INDEXED = "chunk bigint, is_doc boolean, doc_id bigint, at array<int>, n int, word string"
 
 
 def byte_letters() -> list[str]:
@@ -80,11 +81,16 @@ class Merges:
         return {k: v for k, v in self.__dict__.items() if k != "_ranks"}
 
 
+@functools.cache
+def _splitter():
+    if ByteLevel is None:
+        raise RuntimeError("the library 'tokenizers' is needed to split texts as the vocabulary does")
+    return ByteLevel(add_prefix_space=False)
+
+
 def words_of(text: str) -> list[str]:
     """The pre-tokens of a text, in order; together they are the text."""
-    if _splitter is None:
-        return _pattern.findall(text)
-    return [text[a:b] for _, (a, b) in _splitter.pre_tokenize_str(text)]
+    return [text[a:b] for _, (a, b) in _splitter().pre_tokenize_str(text)]
 
 
 def replay(words: list[str], merges: Merges) -> list[np.ndarray]:
@@ -157,24 +163,38 @@ def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame
             yield number, batch.iloc[start:]
 
 
-def _numbered(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for number, rows in _chunks(batches):
-        yield pd.DataFrame({"chunk": number, "doc_id": rows["doc_id"], "text": rows["text"]})
+def _indexed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents as numbers of words, and the words of every chunk with their numbers."""
+    columns = [c.split()[0] for c in INDEXED.split(", ")]
 
+    def dictionary(number: int, seen: dict[str, int]) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": number, "is_doc": False, "doc_id": None, "at": None, "n": range(len(seen)), "word": list(seen)})[columns]
 
-def _chunk_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The different words of every chunk."""
-    current, seen = None, set()
+    current, seen = None, {}
     for number, rows in _chunks(batches):
         if number != current and seen:
-            yield pd.DataFrame({"chunk": current, "word": list(seen)})
-            seen = set()
+            yield dictionary(current, seen)
+            seen = {}
         current = number
-        for text in rows["text"]:
-            if text:
-                seen.update(words_of(text))
+        put = seen.setdefault
+        at = [np.array([put(w, len(seen)) for w in words_of(t)], dtype=np.int32) if t else np.zeros(0, dtype=np.int32) for t in rows["text"]]
+        yield pd.DataFrame({"chunk": number, "is_doc": True, "doc_id": rows["doc_id"], "at": at, "n": None, "word": None})[columns]
     if seen:
-        yield pd.DataFrame({"chunk": current, "word": list(seen)})
+        yield dictionary(current, seen)
+
+
+def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """Ids of every document of a chunk from the ids of its words."""
+    by = np.argsort(words["n"].to_numpy(), kind="stable")
+    ids = words["ids"].to_numpy()[by]
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    flat, starts = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32), np.cumsum(sizes) - sizes
+    at = np.concatenate([*docs["at"], np.zeros(0, np.int32)]).astype(np.int64)
+    each = sizes[at]
+    ends = np.cumsum(each)
+    out = flat[np.repeat(starts[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+    places = np.r_[0, ends][np.cumsum([len(x) for x in docs["at"]])]
+    return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "ids": np.split(out, places[:-1])})
 
 
 def encode(docs: DataFrame, merges: Merges) -> DataFrame:
@@ -184,42 +204,37 @@ def encode(docs: DataFrame, merges: Merges) -> DataFrame:
     tokens are ordinary text. Repeated rows, null ids and an empty table are
     fine: one output row per input row; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(merges)
 
     def replay_shard(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done() -> pd.DataFrame:
-            return pd.DataFrame({"word": held, "ids": replay(held, shared.value)})
+            return pd.DataFrame({"word": held, "chunks": counts, "ids": replay(held, shared.value)})
 
         held: list[str] = []
+        counts: list[int] = []
         chars = 0
         for batch in batches:
-            for word in batch["word"]:
+            for word, n in zip(batch["word"], batch["chunks"]):
                 held.append(word)
+                counts.append(n)
                 chars += len(word)
                 if chars >= REPLAY_CHARS:
                     yield done()
-                    held, chars = [], 0
+                    held, counts, chars = [], [], 0
         if held:
             yield done()
 
-    def assemble(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(words["word"], words["ids"]))
-        empty = np.zeros(0, dtype=np.int32)
-        out = []
-        for text in rows["text"]:
-            parts = words_of(text) if text else ()
-            # a chunk seen differently the second time (an unstable source): replay what lacks
-            if lacking := [w for w in parts if w not in known]:
-                known.update(zip(lacking, replay(lacking, shared.value)))
-            out.append(np.concatenate([known[w] for w in parts]).astype(np.int32) if parts else empty)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "ids": out})
-
-    chunks = docs.mapInPandas(_numbered, "chunk bigint, doc_id bigint, text string")
-    words = docs.mapInPandas(_chunk_words, "chunk bigint, word string")
-    encoded = words.select("word").distinct().mapInPandas(replay_shard, "word string, ids array<int>")
-    dictionary = words.join(encoded, "word").select("chunk", "word", "ids")
-    return chunks.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInPandas(assemble, "doc_id bigint, ids array<int>")
+    table = cut(docs.select("doc_id", "text").mapInPandas(_indexed, INDEXED), "indexed")
+    words = table.where(~F.col("is_doc")).select(F.col("chunk").alias("home"), "n", "word")
+    encoded = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("chunks")).mapInPandas(replay_shard, "word string, chunks bigint, ids array<int>"), "encoded")
+    # words that hold more than a HEAVY_WORDS-th part of all entries: fewer than HEAVY_WORDS
+    least = max(HEAVY_CHUNKS, encoded.agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0] // HEAVY_WORDS)
+    heavy = encoded.where(F.col("chunks") > least).select("word", "ids")
+    marked = words.join(F.broadcast(heavy), "word", "left")
+    rest = marked.where(F.col("ids").isNull()).drop("ids").join(encoded.select("word", "ids"), "word")
+    dictionary = marked.where(F.col("ids").isNotNull()).select("home", "n", "ids").unionByName(rest.select("home", "n", "ids"))
+    texts = table.where(F.col("is_doc")).select("chunk", "doc_id", "at")
+    return texts.groupBy("chunk").cogroup(dictionary.groupBy("home")).applyInPandas(_assemble, "doc_id bigint, ids array<int>")
 
 
 def token_counts(encoded: DataFrame) -> DataFrame:

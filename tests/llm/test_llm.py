@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -94,10 +95,21 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(leaks, "BLOCK_CHARS", 400)  # items in several blocks
     assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(df, item_df).collect()} == set(want)
-    clean = leaks.without_leaks(df, leaks.leaks(df, item_df))
+    lost = spark.createDataFrame([(None, items[0][1], 0, "clash", 5), (None, "fine", 0, "clash", 5)], SCHEMA)
+    clean = leaks.without_leaks(df.unionByName(lost), item_df).where("doc_id is not null or text != 'fine'")
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_leaks_among_equal_words():
+    """A million equal words and a long item of them: no list of all pairs of places."""
+    items = leaks.Items([(1, "no " * 3000), (2, "yes " * 20)])
+    tracemalloc.start()
+    got = leaks.search([7, 8], ["no " * 1_000_000, "yes yes " * 9], items)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert sorted(map(tuple, got.to_numpy().tolist())) == [(7, 1, 3000, 0, 0), (8, 2, 18, 0, 0)]
+
+
 def test_leaks_ignore_form_and_need_twelve_words(spark):
     item = "The quick brown fox, jumps over the lazy dog near Café No 7 today"
     run = item.split()

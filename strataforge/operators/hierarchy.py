@@ -17,15 +17,27 @@ where listing ancestors per node would be quadratic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from strataforge.session import cut, drop
 
-#: Children of a node are numbered in this many groups, so that no parent's
+#: Children of a node are numbered in groups of about so many, so that no parent's
 #: children have to be sorted in one task.
-SIBLING_GROUPS = 64
+SIBLINGS = 10_000
+#: Long chains and trees are joined in cells of so many positions, never by their head
+#: or root alone.
+CELL = 4096
+
+
+def _round(step: Callable[[DataFrame], DataFrame], state: DataFrame, label: str, **seen: Column) -> tuple[DataFrame, dict]:
+    """``step`` taken and written; what was ``seen`` of the result, without another job."""
+    look = Observation(label)
+    after = cut(step(state).observe(look, *[c.alias(k) for k, c in seen.items()]), label)
+    drop(state)
+    return after, look.get
 
 
 def _resolved(links: DataFrame) -> DataFrame:
@@ -36,29 +48,28 @@ def _resolved(links: DataFrame) -> DataFrame:
     return one.select("id").join(known, "id", "left")
 
 
-def _sizes(tree: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(``id, size`` of nodes that reach a root, ``id`` of those that do not)."""
-    state = cut(tree.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")), "sizes")
-    active = state.where(F.col("up").isNotNull()).count()
-    while active:
+def _sizes(tree: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(``id, size`` of nodes that reach a root, ``id`` of those that do not, number of nodes)."""
+
+    def step(state: DataFrame) -> DataFrame:
         walking = state.where(F.col("up").isNotNull())
-        gained = walking.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
-        further = walking.select("id", "up").join(state.select(F.col("id").alias("up"), F.col("up").alias("next")).where(F.col("next").isNotNull()), "up").select("id", "next")
-        grown = (
-            state.select("id", "size")
-            .join(gained, "id", "left")
-            .join(further, "id", "left")
-            .select("id", F.col("next").alias("up"), (F.col("size") + F.coalesce(F.col("more"), F.lit(0))).alias("size"))
-        )
-        after = cut(grown, "sizes")
-        drop(state)
-        state = after
-        left = state.where(F.col("up").isNotNull()).count()
+        further = walking.join(walking.select(F.col("id").alias("up"), F.col("up").alias("next"), "size"), "up").select("id", F.col("next").alias("up"), F.lit(0).cast("bigint").alias("size"))
+        given = walking.select(F.col("up").alias("id"), F.lit(None).cast("string").alias("up"), "size")
+        kept = state.select("id", F.lit(None).cast("string").alias("up"), "size")
+        # one grouping, combined on the map side: what a node had, is given, and where it walks on
+        return kept.unionByName(given).unionByName(further).groupBy("id").agg(F.max("up").alias("up"), F.sum("size").alias("size"))
+
+    look = Observation("tree")
+    state = cut(tree.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")).observe(look, F.count("up").alias("walking"), F.count(F.lit(1)).alias("n")), "sizes")
+    active, n = look.get["walking"], look.get["n"]
+    while active:
+        state, seen = _round(step, state, "sizes", walking=F.count("up"))
+        left = seen["walking"]
         if left == active:  # nobody arrived: the rest walks in circles
             break
         active = left
     circling = state.where(F.col("up").isNotNull()).select("id") if active else None
-    return state.where(F.col("up").isNull()).select("id", "size"), circling
+    return state.where(F.col("up").isNull()).select("id", "size"), circling, n
 
 
 def _circles(tree: DataFrame, circling: DataFrame) -> DataFrame:
@@ -67,20 +78,21 @@ def _circles(tree: DataFrame, circling: DataFrame) -> DataFrame:
     # low: the smallest id on the walk of 2^k steps. The ends of all such walks are
     # fewer each time until they are just the circles; once neither they nor any low
     # change, walks end on their circle and have seen all of it.
-    ends, changed = state.count(), True
-    while changed:
+    def step(state: DataFrame) -> DataFrame:
         other = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("low2"))
-        moved = state.join(other, "up").select("id", F.col("next").alias("up"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("lower"))
-        after = cut(moved, "circles")
-        drop(state)
-        state = after
-        now = state.agg(F.countDistinct("up").alias("ends"), F.max("lower").alias("lower")).first()
-        changed = bool(now["lower"]) or now["ends"] != ends
-        ends = now["ends"]
+        return state.join(other, "up").select("id", F.col("next").alias("up"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("lower"))
+
+    ends, changed = None, True
+    while changed:
+        state, seen = _round(step, state.select("id", "up", "low"), "circles", lower=F.max("lower"))
+        changed = bool(seen["lower"])
+        if not changed:  # else the ends need not be counted
+            now = state.agg(F.countDistinct("up")).first()[0]
+            changed, ends = now != ends, now
     return state.select("id", "up").join(state.select(F.col("id").alias("up"), F.col("low").alias("root_id")), "up").select("id", "root_id")
 
 
-def _chains(tree: DataFrame, sizes: DataFrame) -> DataFrame:
+def _chains(tree: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
     """``id, parent, size, head, pos, lead``.
 
     ``head`` is the first node of the chain, ``pos`` the place in it, ``lead``
@@ -92,7 +104,7 @@ def _chains(tree: DataFrame, sizes: DataFrame) -> DataFrame:
     heavy = heavy.select(F.col("h.id").alias("id"), "parent", F.col("h.size").alias("heavy_size"))
 
     # pre-order: the heavy child first, then the light ones, group after group
-    light = children.join(heavy.select("id"), "id", "left_anti").withColumn("group", F.pmod(F.xxhash64("id"), F.lit(SIBLING_GROUPS)).cast("int"))
+    light = children.join(heavy.select("id"), "id", "left_anti").withColumn("group", F.pmod(F.xxhash64("id"), F.lit(n // SIBLINGS + 64)).cast("int"))
     before = Window.partitionBy("parent").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     groups = light.groupBy("parent", "group").agg(F.sum("size").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("parent", "group").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,12 +120,16 @@ def _chains(tree: DataFrame, sizes: DataFrame) -> DataFrame:
         nodes.select("id").join(heavy.select("id", "parent"), "id", "left").select("id", F.coalesce("parent", "id").alias("head"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("pos"), F.col("parent").isNull().alias("done")),
         "chains",
     )
-    while not state.where(~F.col("done")).isEmpty():
+
+    def step(state: DataFrame) -> DataFrame:
         other = state.select(F.col("id").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"), F.col("done").alias("done2"))
         moved = state.where(~F.col("done")).join(other, "head").select("id", F.col("head2").alias("head"), (F.col("pos") + F.col("pos2")).alias("pos"), F.col("done2").alias("done"))
-        after = cut(state.where(F.col("done")).unionByName(moved), "chains")
-        drop(state)
-        state = after
+        return state.where(F.col("done")).unionByName(moved)
+
+    left = 1
+    while left:
+        state, seen = _round(step, state, "chains", left=F.count_if(~F.col("done")))
+        left = seen["left"]
     return nodes.join(state.drop("done"), "id").join(leads, "id", "left").select("id", "parent", "size", "head", "pos", F.coalesce("lead", F.lit(1)).alias("lead"))
 
 
@@ -134,7 +150,7 @@ def _chain_tree(chains: DataFrame) -> DataFrame:
         ),
         "chain-tree",
     )
-    while not state.where(F.col("up").isNotNull()).isEmpty():
+    def step(state: DataFrame) -> DataFrame:
         other = state.select(*[F.col(c).alias(f"o_{c}") for c in state.columns])
         moved = state.where(F.col("up").isNotNull()).join(other, F.col("up") == F.col("o_head")).select(
             "head",
@@ -144,9 +160,12 @@ def _chain_tree(chains: DataFrame) -> DataFrame:
             (F.col("first") + F.col("o_first")).alias("first"),
             F.concat("o_segments", "segments").alias("segments"),
         )
-        after = cut(state.where(F.col("up").isNull()).unionByName(moved), "chain-tree")
-        drop(state)
-        state = after
+        return state.where(F.col("up").isNull()).unionByName(moved)
+
+    left = 1
+    while left:
+        state, seen = _round(step, state, "chain-tree", left=F.count("up"))
+        left = seen["left"]
     return state.drop("up")
 
 
@@ -165,11 +184,13 @@ def hierarchy(links: DataFrame) -> DataFrame:
     own parent is a circle. No rows give no rows.
     """
     tree = cut(_resolved(links), "tree")
-    sizes, circling = _sizes(tree)
-    chains = cut(_chains(tree, sizes), "labels")
-    per_chain = _chain_tree(chains)
+    sizes, circling, n = _sizes(tree)
+    chains = cut(_chains(tree, sizes, n).withColumn("cell", F.floor(F.col("pos") / CELL)), "labels")
+    # a chain of many nodes is joined cell after cell
+    lengths = chains.where(F.pmod("pos", F.lit(CELL)) == 0).select("head", "cell")
+    per_chain = lengths.join(_chain_tree(chains), "head")
     own = F.struct(F.col("head"), F.col("pos").alias("upto"))
-    out = chains.join(per_chain, "head").select(
+    out = chains.join(per_chain, ["head", "cell"]).select(
         "id",
         "root_id",
         (F.col("depth") + F.col("pos")).alias("depth"),
@@ -195,18 +216,24 @@ def paths(tree: DataFrame, of: DataFrame) -> DataFrame:
     """Full paths, root first, of the ids in ``of`` (column ``id``): ``id, step, node``.
 
     One row per node on the path; an output of all paths is quadratic by nature,
-    therefore the ids wanted are an argument.
+    therefore the ids wanted are an argument. Steps follow from the lengths of the
+    pieces, so no path is sorted; chains are joined in cells.
     """
     wanted = tree.join(of.select("id").distinct(), "id", "left_semi").where(F.col("segments").isNotNull())
-    pieces = wanted.select("id", F.posexplode("segments").alias("piece", "s")).select("id", "piece", F.col("s.head").alias("head"), F.col("s.upto").alias("end"))
-    members = chain_members(tree).select(F.col("head"), F.col("upto").alias("at"), F.col("id").alias("node"))
-    found = pieces.join(members, "head").where(F.col("at") <= F.col("end")).select("id", "piece", "at", "node")
-    order = Window.partitionBy("id").orderBy("piece", "at")
-    return found.select("id", (F.row_number().over(order) - 1).alias("step"), "node")
+    skip = lambda i: F.aggregate(F.slice("segments", 1, i), F.lit(0).cast("bigint"), lambda n, s: n + s["upto"] + 1)
+    placed = F.transform("segments", lambda s, i: F.struct(s["head"].alias("head"), s["upto"].alias("end"), skip(i).alias("skip")))
+    pieces = wanted.select("id", F.explode(placed).alias("s")).select("id", "s.*").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("end") / CELL))))
+    members = chain_members(tree).select("head", F.floor(F.col("upto") / CELL).alias("cell"), F.col("upto").alias("at"), F.col("id").alias("node"))
+    return pieces.join(members, ["head", "cell"]).where(F.col("at") <= F.col("end")).select("id", (F.col("skip") + F.col("at")).alias("step"), "node")
 
 
 def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
-    """All descendants of the ids in ``of``: ``id, descendant``, by pre-order interval."""
-    wanted = tree.join(of.select("id").distinct(), "id", "left_semi").where(F.col("first").isNotNull()).select("id", "root_id", "first", "last")
-    inner = tree.where(F.col("first").isNotNull()).select(F.col("id").alias("descendant"), "root_id", F.col("first").alias("at"))
-    return wanted.join(inner, "root_id").where((F.col("at") > F.col("first")) & (F.col("at") <= F.col("last"))).select("id", "descendant")
+    """All descendants of the ids in ``of``: ``id, descendant``, by pre-order interval.
+
+    Intervals and nodes meet in cells of pre-order numbers, so the work follows the
+    descendants found, not the size of the tree.
+    """
+    wanted = tree.join(of.select("id").distinct(), "id", "left_semi").where(F.col("last") > F.col("first")).select("id", "root_id", "first", "last")
+    cells = wanted.withColumn("cell", F.explode(F.sequence(F.floor((F.col("first") + 1) / CELL), F.floor(F.col("last") / CELL))))
+    inner = tree.where(F.col("first").isNotNull()).select(F.col("id").alias("descendant"), "root_id", F.col("first").alias("at"), F.floor(F.col("first") / CELL).alias("cell"))
+    return cells.join(inner, ["root_id", "cell"]).where((F.col("at") > F.col("first")) & (F.col("at") <= F.col("last"))).select("id", "descendant")

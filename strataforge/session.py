@@ -36,7 +36,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
     Where the setting is absent (tests, a laptop) an own temporary folder is
-    set, once per session, and removed at exit.
+    set, once per session, and removed at exit; on a cluster, whose executors
+    would each write to their own disk, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -45,6 +46,8 @@ def scratch_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="strataforge-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     context.setCheckpointDir(f"file://{own}")
@@ -52,7 +55,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Materialise ``df`` as a table in the shared folder and read it back."""
+    """Materialise ``df`` as a table in the shared folder and read it back.
+
+    The table stays until :func:`drop`; the owner of the folder removes the rest.
+    """
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,27 +1,28 @@
 """What changed between consecutive full snapshots: ordinals and bitmaps.
 
-Every path of a branch gets a persistent ordinal: the same number in all
-snapshots of the branch. The high part of the ordinal is a bucket of paths, the
-low part the rank inside the bucket, so a snapshot is a set of compressed
-containers, one per bucket. Of two consecutive snapshots ``cur AND NOT prev``
-are the additions, ``prev AND NOT cur`` the removals, and on ``prev AND cur``
-the ordinal-aligned vectors of content fingerprints show the changes.
-
-One shuffle carries the entries, by (branch, bucket). Branches with many entries
-get more buckets, long histories are cut into runs that overlap by one snapshot,
-so no group grows with the largest branch.
+Every path of a branch gets a persistent ordinal: the same number in all snapshots of
+the branch, and, where the table made by :func:`ordinals` is kept and handed in again,
+in all later calls. The high part of the ordinal is a bucket of paths, the low part
+the number inside the bucket, so a snapshot is a set of compressed containers, one
+per bucket. Of two consecutive snapshots ``cur AND NOT prev`` are the additions,
+``prev AND NOT cur`` the removals, and on ``prev AND cur`` the ordinal-aligned vectors
+of content fingerprints show the changes.
+
+Before anything is shuffled an entry becomes its clean path and one fingerprint of its
+blocks. One shuffle brings file lists to their snapshot's place in the branch, one
+carries the entries, by (branch, bucket). Branches with many entries get more buckets,
+long histories are cut into runs that overlap by one snapshot, so no group grows with
+the largest branch; a snapshot without a path in a bucket needs no row there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataforge.functions.normal import clean_path, counting_rows, element_key, fingerprint, key
+from strataforge.functions.normal import clean_path, element_key, key
 
 #: Entries aimed at per bucket of a branch, and snapshots per run.
 BUCKET_ROWS = 50_000
@@ -62,118 +63,162 @@ class Container:
         return np.intersect1d(self.ordinals(), other.ordinals(), assume_unique=True)
 
 
-def _diff_group(rows: pd.DataFrame) -> pd.DataFrame:
+def _diff_group(rows: pd.DataFrame, run_snapshots: int) -> pd.DataFrame:
     """Changes inside one (branch, bucket, run): rows of all its snapshots.
 
-    A null ``ordinal`` marks that a snapshot exists (it may have no path here).
+    A snapshot of the run without rows has no path in the bucket.
     """
     number = rows["snap_no"].to_numpy()
     order = np.argsort(number, kind="stable")
     number = number[order]
-    ordinal = rows["ordinal"].to_numpy(dtype="float64")[order]
-    one, two = rows["fp1"].to_numpy(dtype="int64")[order], rows["fp2"].to_numpy(dtype="int64")[order]
-    paths, ids = rows["path"].to_numpy()[order], rows["fileset_id"].to_numpy()[order]
+    ordinal, prints, paths = rows["ordinal"].to_numpy()[order], rows["fp"].to_numpy()[order], rows["path"].to_numpy()[order]
+    run = int(rows["run"].iloc[0])
+    first, end = max(1, run * run_snapshots), min(int(rows["n_snaps"].iloc[0]), (run + 1) * run_snapshots)
 
-    real = ~np.isnan(ordinal)
-    universe = int(ordinal[real].max()) + 1 if real.any() else 0
+    universe = int(ordinal.max()) + 1
     names = np.empty(universe, dtype=object)
-    names[ordinal[real].astype("int64")] = paths[real]
-    vectors = [(np.zeros(universe, "int64"), np.zeros(universe, "int64")) for _ in range(2)]
+    names[ordinal] = paths
+    vectors = [np.zeros(universe, "int64") for _ in range(2)]
+    none = Container(np.zeros(0, "int64"), universe)
+    out: list[tuple[int, int, np.ndarray]] = []
+
+    def put(at: int, kind: int, found: np.ndarray) -> None:
+        if len(found):
+            out.append((at, kind, found))
 
     starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-    out_id, out_path, out_kind = [], [], []
-    previous: Container | None = None
+    previous, last = none, first
     for k, (a, b) in enumerate(zip(starts, np.r_[starts[1:], len(number)])):
-        mine = real[a:b]
-        members = ordinal[a:b][mine].astype("int64")
-        v1, v2 = vectors[k % 2]
-        v1[members], v2[members] = one[a:b][mine], two[a:b][mine]
+        now, members, vector = int(number[a]), ordinal[a:b], vectors[k % 2]
+        vector[members] = prints[a:b]
         current = Container(np.sort(members), universe)
-        if previous is not None and number[a] == last + 1:  # noqa: F821
-            p1, p2 = vectors[1 - k % 2]
+        if now > last + 1:  # the snapshots between are empty here
+            put(last + 1, 1, previous.ordinals())
+            previous = none
+        if now > first:
+            put(now, 0, current.and_not(previous))
+            put(now, 1, previous.and_not(current))
             common = current.both(previous)
-            differing = common[(v1[common] != p1[common]) | (v2[common] != p2[common])]
-            for kind, found in enumerate((current.and_not(previous), previous.and_not(current), differing)):
-                if len(found):
-                    out_id.append(np.full(len(found), ids[a], dtype=object))
-                    out_path.append(names[found])
-                    out_kind.append(np.full(len(found), KINDS[kind], dtype=object))
-        previous, last = current, number[a]  # noqa: F841
-    if not out_id:
-        return pd.DataFrame({"fileset_id": pd.Series(dtype=object), "path": pd.Series(dtype=object), "change_kind": pd.Series(dtype=object)})
-    return pd.DataFrame({"fileset_id": np.concatenate(out_id), "path": np.concatenate(out_path), "change_kind": np.concatenate(out_kind)})
+            put(now, 2, common[vector[common] != vectors[1 - k % 2][common]])
+        previous, last = current, now
+    if last < end:
+        put(last + 1, 1, previous.ordinals())
+    sizes = [len(f) for _, _, f in out]
+    return pd.DataFrame(
+        {
+            "branch": rows["branch"].iloc[0],
+            "snap_no": np.repeat([n for n, _, _ in out], sizes).astype("int32"),
+            "path": names[np.concatenate([f for _, _, f in out])] if out else np.empty(0, dtype=object),
+            "change_kind": np.repeat([KINDS[k] for _, k, _ in out], sizes) if out else np.empty(0, dtype=object),
+        },
+        index=range(sum(sizes)),
+    )
+
+
+def _files() -> Column:
+    """The entries of a delivery as ``path`` and ``fp``, a fingerprint of the (hash, size) list.
+
+    Only contents of one path are compared, pair by pair, so 64 bits are plenty.
+    """
+    # nulls are given a value: the hash passes over them
+    block = lambda b: F.struct(F.coalesce(element_key(b["hash"]), F.lit("\x01")).alias("h"), F.coalesce(b["size"], F.lit(-(1 << 63))).alias("s"))
+    prints = lambda f: F.xxhash64(F.size(F.coalesce(f["blocks"], F.array())), F.transform(F.coalesce(f["blocks"], F.array()), block))
+    return F.transform("files", lambda f: F.struct(F.coalesce(clean_path(f["path"]), F.lit("")).alias("path"), prints(f).alias("fp")))
+
+
+def _deliveries(filesets: DataFrame) -> DataFrame:
+    """``fileset_id, branch, taken_at, at, n_files, tie, entries`` of every row."""
+    rows = filesets.select(key(F.col("id")).alias("fileset_id"), key(F.col("branch")).alias("branch"), "taken_at", F.col("arrived_at").alias("at"), F.coalesce(F.size("files"), F.lit(-1)).alias("n_files"), _files().alias("entries"))
+    return rows.withColumn("tie", F.xxhash64(F.coalesce("branch", F.lit("")), F.coalesce(F.unix_micros("taken_at"), F.lit(-1)), "n_files", "entries"))
 
 
 def delivered(filesets: DataFrame) -> DataFrame:
-    """The snapshots that count: ``fileset_id, branch, snap_no, has_prev, tie``.
+    """The snapshots that count: ``fileset_id, branch, at, tie, snap_no, n_snaps, n_buckets``.
 
     One row per fileset id, of its latest arrival; without ``files`` it was not
     delivered and is passed over. Snapshots without a branch or ``taken_at``
     belong to no sequence. Ties in ``taken_at`` are ordered by id. Only metadata
     moves here, the ``files`` stay where they are.
     """
-    heads = (
-        filesets.select(key(F.col("id")).alias("fileset_id"), key(F.col("branch")).alias("branch"), "taken_at", "arrived_at", F.coalesce(F.size("files"), F.lit(-1)).alias("n_files"), _content_hash().alias("tie"))
-    )
-    one = counting_rows(heads, "fileset_id", ["branch", "taken_at", "n_files", "tie", "arrived_at"])
+    newest = F.max(F.struct("at", "tie", "branch", "taken_at", "n_files"))
+    one = _deliveries(filesets).where(F.col("fileset_id").isNotNull()).groupBy("fileset_id").agg(newest.alias("d")).select("fileset_id", "d.*")
     one = one.where((F.col("n_files") >= 0) & F.col("branch").isNotNull() & F.col("taken_at").isNotNull())
     per_branch = Window.partitionBy("branch")
     return one.select(
         "fileset_id",
         "branch",
-        F.col("arrived_at").alias("at"),
+        "at",
         "tie",
         F.row_number().over(per_branch.orderBy("taken_at", "fileset_id")).alias("snap_no"),
-        F.count(F.lit(1)).over(per_branch).alias("n_snaps"),
-        F.ceil(F.sum("n_files").over(per_branch) / BUCKET_ROWS).cast("int").alias("n_buckets"),
+        F.count(F.lit(1)).over(per_branch).cast("int").alias("n_snaps"),
+        F.greatest(F.ceil(F.sum("n_files").over(per_branch) / BUCKET_ROWS), F.lit(1)).cast("int").alias("n_buckets"),
     )
 
 
-def _content_hash():
-    return F.xxhash64(F.col("taken_at"), key(F.col("branch")), F.coalesce(F.to_json("files"), F.lit("")))
-
-
 def entries(filesets: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row per snapshot and clean path, the last entry of the array winning."""
-    source = filesets.where(F.col("files").isNotNull()).select(key(F.col("id")).alias("fileset_id"), F.col("arrived_at").alias("at"), _content_hash().alias("tie"), "files")
+    """One row per entry of a counting snapshot: ``branch, snap_no, n_snaps, n_buckets, pos, path, fp``."""
+    source = _deliveries(filesets).where(F.col("n_files") > 0).select("fileset_id", "at", "tie", "entries")
     same = (F.col("s.fileset_id") == F.col("m.fileset_id")) & F.col("s.at").eqNullSafe(F.col("m.at")) & (F.col("s.tie") == F.col("m.tie"))
-    joined = meta.alias("m").join(source.alias("s"), same).select("m.fileset_id", "m.branch", "m.snap_no", "m.n_snaps", "m.n_buckets", "s.files")
     # identical deliveries are one: any of them gives the same entries
-    listed = joined.select("fileset_id", "branch", "snap_no", "n_snaps", "n_buckets", F.posexplode("files").alias("pos", "f"))
-    blocks = F.transform(F.coalesce(F.col("f.blocks"), F.array()), lambda b: F.struct(element_key(b["hash"]).alias("hash"), b["size"].alias("size")))
-    fp1, fp2 = fingerprint(F.to_json(F.struct(blocks.alias("b")), {"ignoreNullFields": "false"}))
-    return listed.select("fileset_id", "branch", "snap_no", "n_snaps", "n_buckets", "pos", clean_path(F.col("f.path")).alias("path"), fp1.alias("fp1"), fp2.alias("fp2")).where(F.col("path") != "")
+    listed = meta.alias("m").join(source.alias("s"), same).select("m.branch", "m.snap_no", "m.n_snaps", "m.n_buckets", F.posexplode("s.entries").alias("pos", "e"))
+    return listed.select("branch", "snap_no", "n_snaps", "n_buckets", "pos", "e.path", "e.fp").where(F.col("path") != "")
+
+
+def _numbered(filesets: DataFrame, meta: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Entries, of a path listed twice the last, with ``bucket`` and ``ordinal``.
+
+    Paths of ``known`` keep their ordinals, new ones follow after the highest of the bucket.
+    """
+    if known is not None:  # the buckets of a branch stay as they are
+        fixed = known.groupBy("branch").agg(F.max("n_buckets").alias("fixed"))
+        meta = meta.join(fixed, "branch", "left").withColumn("n_buckets", F.coalesce("fixed", "n_buckets")).drop("fixed")
+    rows = entries(filesets, meta).withColumn("bucket", F.pmod(F.xxhash64("path"), F.col("n_buckets")).cast("int")).withColumn("old", F.lit(None).cast("int"))
+    if known is not None:
+        kept = known.select("branch", F.lit(0).alias("snap_no"), F.lit(0).alias("n_snaps"), "n_buckets", F.lit(0).alias("pos"), "path", F.lit(0).cast("bigint").alias("fp"), "bucket", F.col("ordinal").alias("old"))
+        rows = rows.unionByName(kept)
+    rows = rows.repartition("branch", "bucket")
+    group = Window.partitionBy("branch", "bucket")
+    listed = group.orderBy("path", "snap_no", F.col("pos").desc())
+    again = F.lag("path").over(listed).eqNullSafe(F.col("path")) & F.lag("snap_no").over(listed).eqNullSafe(F.col("snap_no"))
+    rows = rows.withColumn("again", again).where(~F.col("again")).drop("again", "pos")
+    if known is None:
+        return rows.withColumn("ordinal", F.dense_rank().over(group.orderBy("path")) - 1)
+    rows = rows.withColumn("old", F.max("old").over(Window.partitionBy("branch", "bucket", "path"))).withColumn("next", F.coalesce(F.max("old").over(group) + 1, F.lit(0)))
+    fresh = F.dense_rank().over(group.orderBy(F.col("old").isNotNull(), "path")) - 1
+    return rows.withColumn("ordinal", F.coalesce("old", F.col("next") + fresh)).drop("next").where(F.col("snap_no") >= 0)
+
+
+def ordinals(filesets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The ordinals of all paths, to be kept: ``branch, n_buckets, bucket, path, ordinal``.
+
+    With those of earlier calls as ``known`` they stay and new paths are added.
+    """
+    return _numbered(filesets, delivered(filesets), known).select("branch", "n_buckets", "bucket", "path", "ordinal").distinct()
 
 
-def changes(filesets: DataFrame) -> DataFrame:
+def changes(filesets: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Paths added, removed or changed between consecutive snapshots.
 
     ``filesets``: ``id, branch, taken_at, arrived_at, files``; other columns are
-    ignored. Returns ``fileset_id`` (the later snapshot), ``path``,
-    ``change_kind``. Null and empty ``blocks`` are equal, ``start_offset`` does
-    not matter, a null or empty path names nothing. The first snapshot of a
-    branch and an empty table give no rows; an empty ``files`` removes all.
+    ignored. ``known``: kept ordinals of :func:`ordinals`. Returns ``fileset_id`` (the
+    later snapshot), ``path``, ``change_kind``. Null and empty ``blocks`` are equal,
+    ``start_offset`` does not matter, a null or empty path names nothing. The first
+    snapshot of a branch and an empty table give no rows; an empty ``files`` removes
+    all.
     """
     meta = delivered(filesets)
-    rows = entries(filesets, meta).withColumn("bucket", F.pmod(F.xxhash64("path"), F.col("n_buckets")).cast("int"))
-
-    # every bucket of a branch must know each snapshot, also those without a path in it
-    presence = meta.where(F.col("n_buckets") > 0).select("fileset_id", "branch", "snap_no", "n_snaps", "n_buckets", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("path"), F.lit(0).cast("bigint").alias("fp1"), F.lit(0).cast("bigint").alias("fp2"), F.explode(F.sequence(F.lit(0), F.col("n_buckets") - 1)).alias("bucket"))
-    together = rows.unionByName(presence.select(*rows.columns)).repartition("branch", "bucket")
-
-    ranked = Window.partitionBy("branch", "bucket")
-    listed = Window.partitionBy("branch", "bucket").orderBy("path", "snap_no", F.col("pos").desc())
-    first = F.lag("path").over(listed).eqNullSafe(F.col("path")) & F.lag("snap_no").over(listed).eqNullSafe(F.col("snap_no"))
-    numbered = (
-        together.withColumn("again", first & F.col("path").isNotNull())
-        .where(~F.col("again"))
-        .withColumn("ordinal", F.when(F.col("path").isNotNull(), F.dense_rank().over(ranked.orderBy("path")) - 1))
-    )
+    numbered = _numbered(filesets, meta, known).where(F.col("snap_no") > 0)
     run = F.floor((F.col("snap_no") - 1) / RUN_SNAPSHOTS).cast("int")
-    starts_run = (F.pmod(F.col("snap_no") - 1, F.lit(RUN_SNAPSHOTS)) == RUN_SNAPSHOTS - 1) & (F.col("snap_no") < F.col("n_snaps"))
+    starts_run = (F.pmod(F.col("snap_no"), F.lit(RUN_SNAPSHOTS)) == 0) & (F.col("snap_no") < F.col("n_snaps"))
     runs = numbered.withColumn("run", F.explode(F.when(starts_run, F.array(run, run + 1)).otherwise(F.array(run))))
-    return (
-        runs.select("branch", "bucket", "run", "snap_no", "fileset_id", "path", "ordinal", "fp1", "fp2")
+    length = RUN_SNAPSHOTS
+
+    def differ(rows: pd.DataFrame) -> pd.DataFrame:
+        return _diff_group(rows, length)
+
+    found = (
+        runs.select("branch", "bucket", "run", "snap_no", "n_snaps", "path", "ordinal", "fp")
         .groupBy("branch", "bucket", "run")
-        .applyInPandas(_diff_group, "fileset_id string, path string, change_kind string")
+        .applyInPandas(differ, "branch string, snap_no int, path string, change_kind string")
     )
+    return found.join(meta.select("branch", "snap_no", "fileset_id"), ["branch", "snap_no"]).select("fileset_id", "path", "change_kind")

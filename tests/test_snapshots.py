@@ -60,6 +60,28 @@ def test_against_brute_force_over_runs_and_buckets(spark, monkeypatch):
     assert changes(spark, rows) == sorted(want)
 
 
+def test_gaps_in_a_bucket(spark, monkeypatch):
+    """Snapshots without any path in a bucket, at the ends and inside of runs."""
+    monkeypatch.setattr(snapshots, "RUN_SNAPSHOTS", 3)
+    there = [(), ("a",), (), (), ("a", "b"), ("b",), (), ("b",), ("b",), ()]
+    rows = [row(f"s{i}", i, [(p, [b("x")]) for p in names]) for i, names in enumerate(there)]
+    want = [(f"s{i}", p, "added") for i in range(1, len(there)) for p in set(there[i]) - set(there[i - 1])] + [(f"s{i}", p, "removed") for i in range(1, len(there)) for p in set(there[i - 1]) - set(there[i])]
+    assert changes(spark, rows) == sorted(want)
+
+
+def test_kept_ordinals_stay(spark):
+    first = [row("s1", 0, [("b", [b("x")]), ("d", [b("x")])])]
+    both = [*first, row("s2", 1, [("a", [b("x")]), ("b", [b("y")]), ("c", None)])]
+    table = snapshots.ordinals(spark.createDataFrame(first, SCHEMA))
+    old = {r["path"]: r["ordinal"] for r in table.collect()}
+    kept = spark.createDataFrame(table.collect(), table.schema)
+    new = {r["path"]: r["ordinal"] for r in snapshots.ordinals(spark.createDataFrame(both, SCHEMA), kept).collect()}
+    assert old == {"b": 0, "d": 1}
+    assert new == {"b": 0, "d": 1, "a": 2, "c": 3}
+    got = sorted(map(tuple, snapshots.changes(spark.createDataFrame(both, SCHEMA), kept).collect()))
+    assert got == changes(spark, both) == [("s2", "a", "added"), ("s2", "b", "changed"), ("s2", "c", "added"), ("s2", "d", "removed")]
+
+
 @pytest.mark.parametrize("limit", [0, 10_000])
 def test_containers(monkeypatch, limit):
     monkeypatch.setattr(snapshots, "ARRAY_MAX", limit)

@@ -29,6 +29,16 @@ def element_key(c: Column) -> Column:
     return F.when(k != "", k)
 
 
+def pack(c: Column) -> Column:
+    """A string as binary, lower-case hex in half its length; :func:`unpack` gives it back."""
+    return F.when(c.rlike("^(?:[0-9a-f]{2})+$"), F.concat(F.unhex(F.lit("01")), F.unhex(c))).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(c, "UTF-8")))
+
+
+def unpack(b: Column) -> Column:
+    rest = F.substring(b, 2, 1 << 30)
+    return F.when(F.substring(b, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, F.lit("UTF-8")))
+
+
 def clean_path(c: Column) -> Column:
     r"""``\`` is ``/``; empty and ``.`` segments vanish; ``..`` removes the one before.
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from strataforge.functions.normal import pack, unpack
 from strataforge.session import cut, drop
 
 #: Rows a part of a heavy key holds at least.
@@ -33,7 +34,7 @@ MAX_PARTS = 50_000
 #: Sampled rows per part that its cuts are taken from.
 SAMPLE_ROWS = 16
 #: Rows per shuffle partition aimed at, and the most partitions of the shuffle.
-PARTITION_ROWS, MAX_PARTITIONS = 250_000, 50_000
+PARTITION_ROWS, MAX_PARTITIONS = 150_000, 50_000
 #: Cuts are searched in two steps, through every so many-th first.
 CUT_BLOCK = 128
 
@@ -80,7 +81,9 @@ def _numbered(rows: DataFrame, keys: list[str], order: list[str], identity: list
     width = max(width, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     once = rows.distinct().drop(*identity[1:])
     spread = once.join(F.broadcast(cuts), keys, "left").withColumn("_part", _part(_here(order, identity)).cast("int")).withColumn("_heavy", F.col("_cuts").isNotNull()).drop("_cuts", "_tops")
-    spread = spread.repartition(width, *keys, "_part")
+    # half the bytes of hex ids, which no shuffle codec finds
+    packed = [c for c, t in spread.dtypes if t == "string" and c not in keys]
+    spread = spread.withColumns({c: pack(F.col(c)) for c in packed}).repartition(width, *keys, "_part").withColumns({c: unpack(F.col(c)) for c in packed})
 
     part = Window.partitionBy(*keys, "_part").orderBy(*[F.col(c).asc_nulls_last() for c in order], identity[0])
     local = spread.withColumn("_pos", F.row_number().over(part)).withColumn("_before", F.lag(order[0]).over(part))

@@ -36,7 +36,7 @@ def pack(c: Column) -> Column:
 
 def unpack(b: Column) -> Column:
     rest = F.substring(b, 2, 1 << 30)
-    return F.when(F.substring(b, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, F.lit("UTF-8")))
+    return F.when(F.substring(b, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
 def clean_path(c: Column) -> Column:

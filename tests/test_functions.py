@@ -120,3 +120,10 @@ def test_counting_rows(spark):
 def test_strings(spark):
     row = spark.range(1).select(strings.shorten(F.lit("x" * 100), 70).alias("a"), strings.shorten(F.lit("abcdefgh"), 5).alias("b"), strings.plain(F.lit("\x1b[31mred\x1b[0m")).alias("c"), strings.percent(F.lit(12.345)).alias("d"), strings.first_line(F.lit("a\n\nb")).alias("e"), strings.base_name(F.lit("x/y/z.txt")).alias("f"), strings.dotted(F.lit("ab"), 5).alias("g")).first()
     assert (len(row["a"]), row["b"], row["c"], row["d"], row["e"], row["f"], row["g"]) == (69, "abcde", "red", "12.3%", "a", "z.txt", "ab...")
+
+
+def test_pack_round_trip(spark):
+    texts = ["", "00ff", "abc", "ABCD", "é—", "0" * 64, "00f", None, "a b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normal.unpack(normal.pack(F.col("t"))).alias("u"), F.length(normal.pack(F.col("t"))).alias("n")).collect()
+    assert all(r["t"] == r["u"] for r in rows)
+    assert [r["n"] for r in rows if r["t"] == "0" * 64] == [33]

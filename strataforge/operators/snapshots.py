@@ -17,6 +17,8 @@ the largest branch; a snapshot without a path in a bucket needs no row there.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,18 +65,12 @@ class Container:
         return np.intersect1d(self.ordinals(), other.ordinals(), assume_unique=True)
 
 
-def _diff_group(rows: pd.DataFrame, run_snapshots: int) -> pd.DataFrame:
-    """Changes inside one (branch, bucket, run): rows of all its snapshots.
+def _diff_group(number: np.ndarray, ordinal: np.ndarray, prints: np.ndarray, paths: np.ndarray, first: int, end: int) -> list[tuple[int, int, np.ndarray]]:
+    """(later snapshot, kind, paths) of the changes inside one (branch, bucket, run).
 
-    A snapshot of the run without rows has no path in the bucket.
+    Rows come in order of the snapshots ``number``; a snapshot from ``first`` to
+    ``end`` without rows has no path in the bucket.
     """
-    number = rows["snap_no"].to_numpy()
-    order = np.argsort(number, kind="stable")
-    number = number[order]
-    ordinal, prints, paths = rows["ordinal"].to_numpy()[order], rows["fp"].to_numpy()[order], rows["path"].to_numpy()[order]
-    run = int(rows["run"].iloc[0])
-    first, end = max(1, run * run_snapshots), min(int(rows["n_snaps"].iloc[0]), (run + 1) * run_snapshots)
-
     universe = int(ordinal.max()) + 1
     names = np.empty(universe, dtype=object)
     names[ordinal] = paths
@@ -84,7 +80,7 @@ def _diff_group(rows: pd.DataFrame, run_snapshots: int) -> pd.DataFrame:
 
     def put(at: int, kind: int, found: np.ndarray) -> None:
         if len(found):
-            out.append((at, kind, found))
+            out.append((at, kind, names[found]))
 
     starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     previous, last = none, first
@@ -103,16 +99,44 @@ def _diff_group(rows: pd.DataFrame, run_snapshots: int) -> pd.DataFrame:
         previous, last = current, now
     if last < end:
         put(last + 1, 1, previous.ordinals())
-    sizes = [len(f) for _, _, f in out]
-    return pd.DataFrame(
-        {
-            "branch": rows["branch"].iloc[0],
-            "snap_no": np.repeat([n for n, _, _ in out], sizes).astype("int32"),
-            "path": names[np.concatenate([f for _, _, f in out])] if out else np.empty(0, dtype=object),
-            "change_kind": np.repeat([KINDS[k] for _, k, _ in out], sizes) if out else np.empty(0, dtype=object),
-        },
-        index=range(sum(sizes)),
-    )
+    return out
+
+
+def _differ(run_snapshots: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Changes of all groups of a partition that is sorted by branch, bucket, run and snapshot."""
+    columns = ["snap_no", "ordinal", "fp", "path"]
+
+    def changes_of(key: tuple, n_snaps: int, pieces: list[list[np.ndarray]]) -> list[tuple]:
+        first, end = max(1, key[2] * run_snapshots), min(n_snaps, (key[2] + 1) * run_snapshots)
+        return [(key[0], *x) for x in _diff_group(*[np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*pieces)], first, end)]
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        sizes = [len(x[3]) for x in found]
+        repeat = lambda values: np.repeat(np.array(values, dtype=object), sizes)
+        return pd.DataFrame({"branch": repeat([x[0] for x in found]), "snap_no": np.repeat(np.array([x[1] for x in found], dtype="int32"), sizes), "path": np.concatenate([x[3] for x in found]), "change_kind": repeat([KINDS[x[2]] for x in found])})
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, n_snaps, pieces = None, 0, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            found: list[tuple] = []
+            keys = [batch[c].to_numpy() for c in ("branch", "bucket", "run")]
+            values = [batch[c].to_numpy() for c in columns]
+            starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+            for a, b in zip(starts, np.r_[starts[1:], len(batch)]):
+                key = (keys[0][a], int(keys[1][a]), int(keys[2][a]))
+                if key != current:
+                    if pieces:
+                        found += changes_of(current, n_snaps, pieces)
+                    current, n_snaps, pieces = key, int(batch["n_snaps"].iat[a]), []
+                pieces.append([v[a:b] for v in values])
+            if found:
+                yield frame(found)
+        if pieces and (found := changes_of(current, n_snaps, pieces)):
+            yield frame(found)
+
+    return run
 
 
 def _files() -> Column:
@@ -126,10 +150,20 @@ def _files() -> Column:
     return F.transform("files", lambda f: F.struct(F.coalesce(clean_path(f["path"]), F.lit("")).alias("path"), prints(f).alias("fp")))
 
 
-def _deliveries(filesets: DataFrame) -> DataFrame:
-    """``fileset_id, branch, taken_at, at, n_files, tie, entries`` of every row."""
-    rows = filesets.select(key(F.col("id")).alias("fileset_id"), key(F.col("branch")).alias("branch"), "taken_at", F.col("arrived_at").alias("at"), F.coalesce(F.size("files"), F.lit(-1)).alias("n_files"), _files().alias("entries"))
-    return rows.withColumn("tie", F.xxhash64(F.coalesce("branch", F.lit("")), F.coalesce(F.unix_micros("taken_at"), F.lit(-1)), "n_files", "entries"))
+def deliveries(filesets: DataFrame, *keep: str) -> DataFrame:
+    """``fileset_id, branch, taken_at, at, n_files, tie, entries`` of every row, and ``keep``.
+
+    ``tie`` tells deliveries of one id and time apart by their contents; those that
+    differ in nothing but where they have nulls count as one.
+    """
+    tie = F.xxhash64(key(F.col("branch")), "taken_at", F.size("files"), "files")
+    return filesets.select(*keep, key(F.col("id")).alias("fileset_id"), key(F.col("branch")).alias("branch"), "taken_at", F.col("arrived_at").alias("at"), F.coalesce(F.size("files"), F.lit(-1)).alias("n_files"), tie.alias("tie"), _files().alias("entries"))
+
+
+def newest(filesets: DataFrame) -> DataFrame:
+    """``fileset_id, at, tie, branch, taken_at, n_files`` of the row that counts; -1 files for null."""
+    last = F.max(F.struct("at", "tie", "branch", "taken_at", "n_files"))
+    return deliveries(filesets).where(F.col("fileset_id").isNotNull()).groupBy("fileset_id").agg(last.alias("d")).select("fileset_id", "d.*")
 
 
 def delivered(filesets: DataFrame) -> DataFrame:
@@ -140,8 +174,7 @@ def delivered(filesets: DataFrame) -> DataFrame:
     belong to no sequence. Ties in ``taken_at`` are ordered by id. Only metadata
     moves here, the ``files`` stay where they are.
     """
-    newest = F.max(F.struct("at", "tie", "branch", "taken_at", "n_files"))
-    one = _deliveries(filesets).where(F.col("fileset_id").isNotNull()).groupBy("fileset_id").agg(newest.alias("d")).select("fileset_id", "d.*")
+    one = newest(filesets)
     one = one.where((F.col("n_files") >= 0) & F.col("branch").isNotNull() & F.col("taken_at").isNotNull())
     per_branch = Window.partitionBy("branch")
     return one.select(
@@ -157,7 +190,7 @@ def delivered(filesets: DataFrame) -> DataFrame:
 
 def entries(filesets: DataFrame, meta: DataFrame) -> DataFrame:
     """One row per entry of a counting snapshot: ``branch, snap_no, n_snaps, n_buckets, pos, path, fp``."""
-    source = _deliveries(filesets).where(F.col("n_files") > 0).select("fileset_id", "at", "tie", "entries")
+    source = deliveries(filesets).where(F.col("n_files") > 0).select("fileset_id", "at", "tie", "entries")
     same = (F.col("s.fileset_id") == F.col("m.fileset_id")) & F.col("s.at").eqNullSafe(F.col("m.at")) & (F.col("s.tie") == F.col("m.tie"))
     # identical deliveries are one: any of them gives the same entries
     listed = meta.alias("m").join(source.alias("s"), same).select("m.branch", "m.snap_no", "m.n_snaps", "m.n_buckets", F.posexplode("s.entries").alias("pos", "e"))
@@ -178,7 +211,7 @@ def _numbered(filesets: DataFrame, meta: DataFrame, known: DataFrame | None) ->
         rows = rows.unionByName(kept)
     rows = rows.repartition("branch", "bucket")
     group = Window.partitionBy("branch", "bucket")
-    listed = group.orderBy("path", "snap_no", F.col("pos").desc())
+    listed = group.orderBy("path", "snap_no", F.col("pos").desc(), "fp")
     again = F.lag("path").over(listed).eqNullSafe(F.col("path")) & F.lag("snap_no").over(listed).eqNullSafe(F.col("snap_no"))
     rows = rows.withColumn("again", again).where(~F.col("again")).drop("again", "pos")
     if known is None:
@@ -211,14 +244,10 @@ def changes(filesets: DataFrame, known: DataFrame | None = None) -> DataFrame:
     run = F.floor((F.col("snap_no") - 1) / RUN_SNAPSHOTS).cast("int")
     starts_run = (F.pmod(F.col("snap_no"), F.lit(RUN_SNAPSHOTS)) == 0) & (F.col("snap_no") < F.col("n_snaps"))
     runs = numbered.withColumn("run", F.explode(F.when(starts_run, F.array(run, run + 1)).otherwise(F.array(run))))
-    length = RUN_SNAPSHOTS
-
-    def differ(rows: pd.DataFrame) -> pd.DataFrame:
-        return _diff_group(rows, length)
-
+    # the partitions are those of the numbering: no shuffle here
     found = (
         runs.select("branch", "bucket", "run", "snap_no", "n_snaps", "path", "ordinal", "fp")
-        .groupBy("branch", "bucket", "run")
-        .applyInPandas(differ, "branch string, snap_no int, path string, change_kind string")
+        .sortWithinPartitions("branch", "bucket", "run", "snap_no")
+        .mapInPandas(_differ(RUN_SNAPSHOTS), "branch string, snap_no int, path string, change_kind string")
     )
     return found.join(meta.select("branch", "snap_no", "fileset_id"), ["branch", "snap_no"]).select("fileset_id", "path", "change_kind")

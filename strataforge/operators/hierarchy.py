@@ -10,6 +10,8 @@
 4. **Chain tree**: the few chains are joined upwards in log log n rounds; that
    concatenates the path segments and sums depth and pre-order offsets.
 
+The rounds move numbers, not ids: nodes are numbered in the table that is written first.
+
 A node's path is its chain segments (at most log2(n), whatever its depth); its
 descendants are one interval of pre-order numbers of its tree. Both stay small
 where listing ancestors per node would be quadratic.
@@ -41,11 +43,12 @@ def _round(step: Callable[[DataFrame], DataFrame], state: DataFrame, label: str,
 
 
 def _resolved(links: DataFrame) -> DataFrame:
-    """``id, parent`` with parents that have no row (or are null) set to null."""
-    one = links.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"))
-    named = one.where(F.col("parent").isNotNull())
-    known = named.join(one.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
-    return one.select("id").join(known, "id", "left")
+    """``id, parent`` as numbers, ``name``; parents that have no row (or are null) are null."""
+    one = links.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("up"))
+    # written before it is used, so a node keeps its number
+    named = cut(one.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("name"), "up"), "names")
+    number = named.select(F.col("name").alias("up"), F.col("id").alias("parent"))
+    return named.join(number, "up", "left").select("id", "parent", "name")
 
 
 def _sizes(tree: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
@@ -54,8 +57,8 @@ def _sizes(tree: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
     def step(state: DataFrame) -> DataFrame:
         walking = state.where(F.col("up").isNotNull())
         further = walking.join(walking.select(F.col("id").alias("up"), F.col("up").alias("next"), "size"), "up").select("id", F.col("next").alias("up"), F.lit(0).cast("bigint").alias("size"))
-        given = walking.select(F.col("up").alias("id"), F.lit(None).cast("string").alias("up"), "size")
-        kept = state.select("id", F.lit(None).cast("string").alias("up"), "size")
+        given = walking.select(F.col("up").alias("id"), F.lit(None).cast("bigint").alias("up"), "size")
+        kept = state.select("id", F.lit(None).cast("bigint").alias("up"), "size")
         # one grouping, combined on the map side: what a node had, is given, and where it walks on
         return kept.unionByName(given).unionByName(further).groupBy("id").agg(F.max("up").alias("up"), F.sum("size").alias("size"))
 
@@ -73,8 +76,10 @@ def _sizes(tree: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
 
 
 def _circles(tree: DataFrame, circling: DataFrame) -> DataFrame:
-    """``id, root_id``: the smallest id on the circle that each node runs into."""
-    state = cut(tree.join(circling, "id", "left_semi").select("id", F.col("parent").alias("up"), F.least("id", "parent").alias("low")), "circles")
+    """``id, root_id`` (names): the smallest id on the circle that each node runs into."""
+    # a walk of one step sees the node and its parent; only nodes of circles and the ways into them take part
+    mine = cut(tree.join(circling, "id", "left_semi"), "circling")
+    state = cut(mine.join(mine.select(F.col("id").alias("parent"), F.col("name").alias("next_name")), "parent").select("id", F.col("parent").alias("up"), F.least("name", "next_name").alias("low")), "circles")
     # low: the smallest id on the walk of 2^k steps. The ends of all such walks are
     # fewer each time until they are just the circles; once neither they nor any low
     # change, walks end on their circle and have seen all of it.
@@ -89,11 +94,12 @@ def _circles(tree: DataFrame, circling: DataFrame) -> DataFrame:
         if not changed:  # else the ends need not be counted
             now = state.agg(F.countDistinct("up")).first()[0]
             changed, ends = now != ends, now
-    return state.select("id", "up").join(state.select(F.col("id").alias("up"), F.col("low").alias("root_id")), "up").select("id", "root_id")
+    found = state.select("id", "up").join(state.select(F.col("id").alias("up"), F.col("low").alias("root_id")), "up")
+    return found.join(mine.select("id", "name"), "id").select(F.col("name").alias("id"), "root_id")
 
 
 def _chains(tree: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
-    """``id, parent, size, head, pos, lead``.
+    """``id, parent, name, size, head, pos, lead``.
 
     ``head`` is the first node of the chain, ``pos`` the place in it, ``lead``
     the pre-order distance from the parent (1 for the heavy child).
@@ -130,20 +136,21 @@ def _chains(tree: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
     while left:
         state, seen = _round(step, state, "chains", left=F.count_if(~F.col("done")))
         left = seen["left"]
-    return nodes.join(state.drop("done"), "id").join(leads, "id", "left").select("id", "parent", "size", "head", "pos", F.coalesce("lead", F.lit(1)).alias("lead"))
+    return nodes.join(state.drop("done"), "id").join(leads, "id", "left").select("id", "parent", "name", "size", "head", "pos", F.coalesce("lead", F.lit(1)).alias("lead"))
 
 
 def _chain_tree(chains: DataFrame) -> DataFrame:
-    """``head, root_id, depth, first, segments`` of every chain."""
-    heads = chains.where(F.col("pos") == 0).select("head", "parent", "lead")
+    """``head, head_id, root_id, depth, first, segments`` of every chain; all but ``head`` by name."""
+    heads = chains.where(F.col("pos") == 0).select("head", F.col("name").alias("head_id"), "parent", "lead")
     at = chains.select(F.col("id").alias("parent"), F.col("head").alias("up"), F.col("pos").alias("at"))
-    start = heads.join(at, "parent", "left")
-    hop = F.struct(F.col("up").alias("head"), F.col("at").alias("upto"))
+    start = heads.join(at, "parent", "left").join(heads.select(F.col("head").alias("up"), F.col("head_id").alias("up_id")), "up", "left")
+    hop = F.struct(F.col("up_id").alias("head"), F.col("at").alias("upto"))
     state = cut(
         start.select(
             "head",
+            "head_id",
             "up",
-            F.when(F.col("up").isNull(), F.col("head")).alias("root_id"),
+            F.when(F.col("up").isNull(), F.col("head_id")).alias("root_id"),
             F.when(F.col("up").isNull(), 0).otherwise(F.col("at") + 1).cast("bigint").alias("depth"),
             F.when(F.col("up").isNull(), 0).otherwise(F.col("at") + F.col("lead")).cast("bigint").alias("first"),
             F.when(F.col("up").isNull(), F.array().cast("array<struct<head:string,upto:bigint>>")).otherwise(F.array(hop)).alias("segments"),
@@ -154,6 +161,7 @@ def _chain_tree(chains: DataFrame) -> DataFrame:
         other = state.select(*[F.col(c).alias(f"o_{c}") for c in state.columns])
         moved = state.where(F.col("up").isNotNull()).join(other, F.col("up") == F.col("o_head")).select(
             "head",
+            "head_id",
             F.col("o_up").alias("up"),
             F.col("o_root_id").alias("root_id"),
             (F.col("depth") + F.col("o_depth")).alias("depth"),
@@ -189,9 +197,9 @@ def hierarchy(links: DataFrame) -> DataFrame:
     # a chain of many nodes is joined cell after cell
     lengths = chains.where(F.pmod("pos", F.lit(CELL)) == 0).select("head", "cell")
     per_chain = lengths.join(_chain_tree(chains), "head")
-    own = F.struct(F.col("head"), F.col("pos").alias("upto"))
+    own = F.struct(F.col("head_id").alias("head"), F.col("pos").alias("upto"))
     out = chains.join(per_chain, ["head", "cell"]).select(
-        "id",
+        F.col("name").alias("id"),
         "root_id",
         (F.col("depth") + F.col("pos")).alias("depth"),
         F.concat("segments", F.array(own)).alias("segments"),

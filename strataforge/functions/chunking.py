@@ -7,7 +7,6 @@ the few candidates.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -82,8 +81,14 @@ def cut_points(data: bytes, smallest: int = MIN_BLOCK, largest: int = MAX_BLOCK,
 
 
 def block_hash(data: bytes) -> str:
-    """XXH3-128 in lower-case hex, or half a SHA-256 where xxhash is missing."""
-    return xxhash.xxh3_128_hexdigest(data) if xxhash else hashlib.sha256(data).hexdigest()[:32]
+    """XXH3-128 in lower-case hex.
+
+    Without the library nothing else may take its place: a store with ids of two
+    kinds would be damaged on every other machine.
+    """
+    if xxhash is None:
+        raise RuntimeError("the library 'xxhash' is needed for block ids")
+    return xxhash.xxh3_128_hexdigest(data)
 
 
 def split_files(files: DataFrame, smallest: int = MIN_BLOCK, largest: int = MAX_BLOCK, modulus: int = MODULUS) -> DataFrame:

@@ -14,29 +14,48 @@ def explode_blocks(entries: DataFrame) -> DataFrame:
     return entries.select(*keep, F.posexplode("blocks").alias("seq", "b")).select(*keep, "seq", F.col("b.hash").alias("hash"), F.col("b.size").alias("size"))
 
 
-def tip_refs(branches: DataFrame, commits: DataFrame, entries: DataFrame) -> DataFrame:
-    """Block references of the branch tips: ``branch, path, seq, hash, size``.
+def tip_sets(branches: DataFrame, commits: DataFrame) -> DataFrame:
+    """``name, fileset_id`` of the branch tips.
 
     Branches without a tip, tips without a commit, commits without a snapshot
     are passed over.
     """
     tips = branches.where(F.col("tip").isNotNull()).join(commits.select(F.col("id").alias("tip"), "fileset_id"), "tip")
-    wanted = tips.where(F.col("fileset_id").isNotNull()).select("name", "fileset_id")
-    return explode_blocks(entries.join(wanted, "fileset_id").select(F.col("name").alias("branch"), "path", "blocks")).where(F.col("hash").isNotNull())
+    return tips.where(F.col("fileset_id").isNotNull()).select("name", "fileset_id")
+
+
+def tip_refs(sets: DataFrame, entries: DataFrame) -> DataFrame:
+    """Block references of the snapshots of ``sets``: ``branch, path, seq, hash, size``."""
+    return explode_blocks(entries.join(sets, "fileset_id").select(F.col("name").alias("branch"), "path", "blocks")).where(F.col("hash").isNotNull())
 
 
 def inventory(refs: DataFrame) -> DataFrame:
     """Per hash: size, number and lists of paths and branches (sorted).
 
-    Distinct (hash, path) and (hash, branch) pairs are made first, so a hash that
-    is referenced everywhere is collected from its different paths only.
+    For listings that show all files of a block: those of one hash form one row.
+    Reports that need counts or the first file take :func:`inventory_report`.
     """
     return refs.groupBy("hash").agg(F.min("size").alias("size"), F.array_sort(F.collect_set("path")).alias("files"), F.array_sort(F.collect_set("branch")).alias("branches"))
 
 
 def inventory_report(refs: DataFrame) -> DataFrame:
-    """The inventory as text columns; of the files only the first, shortened in the middle."""
-    return inventory(refs).select("hash", "size", F.size("files").cast("bigint").alias("n_files"), shorten(F.get("files", 0), 40).alias("first_file"), F.array_join("branches", ",").alias("branches"))
+    """The inventory as text columns; of the files only the first, shortened in the middle.
+
+    Files are counted, not listed: (hash, path) pairs are made first.
+    """
+    files = refs.groupBy("hash", "path").agg(F.min("size").alias("size")).groupBy("hash").agg(F.min("size").alias("size"), F.count("path").alias("n_files"), F.min("path").alias("first"))
+    names = refs.groupBy("hash").agg(F.array_sort(F.collect_set("branch")).alias("branches"))
+    return files.join(names, "hash").select("hash", "size", "n_files", shorten(F.col("first"), 40).alias("first_file"), F.array_join("branches", ",").alias("branches"))
+
+
+def file_reuse_pct(summary: DataFrame) -> DataFrame:
+    """Share of files that hold a shared block, in percent, from :func:`reuse_summary`; null without files."""
+    return summary.select(F.round(F.col("files_with_shared") * 100.0 / F.nullif(F.col("total_files"), F.lit(0)), 6).alias("file_reuse_pct"))
+
+
+def repair_totals(plan: DataFrame) -> DataFrame:
+    """Bad blocks of a :func:`repair_plan`, and how many of them a source was found for."""
+    return plan.agg(F.count(F.lit(1)).alias("n_bad"), F.count("path").alias("n_repairable"), F.count_if(F.col("path").isNull()).alias("n_lost"))
 
 
 def inventory_listing(refs: DataFrame) -> DataFrame:
@@ -124,7 +143,8 @@ def restore(entries: DataFrame, store: DataFrame) -> DataFrame:
 def fileset_ids(entries: DataFrame, hash_of=F.md5) -> DataFrame:
     """Content hash of every fileset: hashes of all blocks in order of the path.
 
-    Paths themselves do not count, nor does the order of the entries.
+    Paths themselves do not count, nor does the order of the entries. The hashes of a
+    fileset form one string, as the id demands; a row holds some ten million of them.
     """
     one = F.struct("path", F.transform("blocks", lambda b: F.coalesce(b["hash"], F.lit(""))).alias("h"))
     hashes = F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda e: e["h"]))

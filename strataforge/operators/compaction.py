@@ -127,6 +127,11 @@ def records(loose: DataFrame) -> DataFrame:
     return files.mapInPandas(_parse, RECORD)
 
 
+def leftovers(loose: DataFrame) -> DataFrame:
+    """Names of files that interrupted writes left behind (base name ``tmp-*`` or ``.tmp-*``)."""
+    return loose.select("file_name").where(F.col("file_name").rlike(LEFTOVER)).distinct()
+
+
 class Conflict(RuntimeError):
     """Another writer changed a partition since the version this one read."""
 

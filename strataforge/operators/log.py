@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.functions.strings import first_line, short_id
+from strataforge.functions.strings import first_line, log_date, short_id
 
 
 def log(commits: DataFrame, since: str | None = None, until: str | None = None, branch: str | None = None, limit: int = 0) -> DataFrame:
@@ -40,3 +40,17 @@ def with_refs(commits: DataFrame, branches: DataFrame, head: str) -> DataFrame:
     tips = branches.where(F.col("tip").isNotNull()).select(F.col("tip").alias("id"), F.struct((F.col("name") != head).alias("later"), F.col("name").alias("name"), shown.alias("shown")).alias("r"))
     names = tips.groupBy("id").agg(F.array_sort(F.collect_set("r")).alias("r"))
     return commits.join(names, "id").select("id", F.array_join(F.transform("r", lambda x: x["shown"]), ", ").alias("refs"), (F.coalesce(F.size("parents"), F.lit(0)) > 1).alias("is_merge"))
+
+
+def detailed(commits: DataFrame, refs: DataFrame) -> DataFrame:
+    """The long form: ``id, header, merge_line, date_line, body``.
+
+    ``refs``: ``id, refs`` of :func:`with_refs`. ``merge_line`` is null unless there
+    are several parents; every line of the message is indented by four blanks.
+    """
+    known = commits.join(refs.select("id", "refs"), "id", "left")
+    header = F.concat(F.lit("commit "), F.col("id"), F.when(F.col("refs").isNotNull(), F.concat(F.lit(" ("), "refs", F.lit(")"))).otherwise(""))
+    parents = F.filter("parents", lambda p: p.isNotNull())
+    merge = F.when(F.size(parents) > 1, F.concat(F.lit("Merge: "), F.array_join(F.transform(parents, short_id), " ")))
+    body = F.concat(F.lit("    "), F.replace(F.coalesce("message", F.lit("")), F.lit("\n"), F.lit("\n    ")))
+    return known.select("id", header.alias("header"), merge.alias("merge_line"), F.concat(F.lit("Date:   "), log_date(F.col("ts"))).alias("date_line"), body.alias("body"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.functions import chunking, glob
+from strataforge.functions import chunking, glob, strings
 from strataforge.functions.normal import counting_rows, key
-from strataforge.operators import blocks, diff, graph, log
+from strataforge.operators import blocks, compaction, diff, graph, log
 from strataforge.plans.views import Repository
-from strataforge.session import cut
+from strataforge.session import cut, scratch_dir
+from strataforge.sources import layout
+from strataforge.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -49,12 +53,12 @@ def block_list_all_files(r: Repository) -> DataFrame:
 
 @query
 def block_list_by_branch(r: Repository) -> DataFrame:
-    return blocks.inventory(r.tip_refs()).select("hash", F.get("branches", 0).alias("first_branch")).orderBy("first_branch", "hash")
+    return r.tip_refs().groupBy("hash").agg(F.min("branch").alias("first_branch")).orderBy("first_branch", "hash")
 
 
 @query
 def block_list_by_name(r: Repository) -> DataFrame:
-    return blocks.inventory(r.tip_refs()).select("hash", F.get("files", 0).alias("first_file")).orderBy("first_file", "hash")
+    return r.tip_refs().groupBy("hash").agg(F.min("path").alias("first_file")).orderBy("first_file", "hash")
 
 
 @query
@@ -67,7 +71,7 @@ def block_count_history(r: Repository) -> DataFrame:
     commits = r.commits()
     seen = graph.history(commits, r.branches().where(F.col("tip").isNotNull()).select(F.col("tip").alias("id")))
     sets = commits.join(seen, "id", "left_semi").where(F.col("fileset_id").isNotNull()).select("fileset_id").distinct()
-    return blocks.explode_blocks(r.entries().join(sets, "fileset_id", "left_semi")).agg(F.countDistinct("hash").alias("n_blocks"))
+    return blocks.explode_blocks(r.entries(sets)).agg(F.countDistinct("hash").alias("n_blocks"))
 
 
 @query
@@ -113,6 +117,85 @@ def block_repair_plan(r: Repository) -> DataFrame:
     return blocks.repair_plan(block_verify(r), r.lines())
 
 
+@query
+def block_repair_totals(r: Repository) -> DataFrame:
+    return blocks.repair_totals(block_repair_plan(r))
+
+
+@query
+def block_file_reuse_pct(r: Repository) -> DataFrame:
+    return blocks.file_reuse_pct(block_reuse_summary(r))
+
+
+@query
+def block_reuse_report(r: Repository) -> DataFrame:
+    """The reuse summary as the lines of a text report, without the colours of the screen."""
+    s = block_reuse_summary(r)
+    number = lambda c: F.concat(F.lit("\x1b[32m"), F.col(c).cast("string"), F.lit("\x1b[0m"))
+    lines = [("Total blocks", number("total_blocks")), ("Shared blocks", number("shared_blocks")), ("Total files", number("total_files")), ("Overall reuse", strings.percent(F.col("overall_reuse")))]
+    report = F.array(*[F.struct(F.lit(i).alias("line_no"), strings.plain(F.concat(strings.dotted(F.lit(n), 24), F.lit(" "), v)).alias("line")) for i, (n, v) in enumerate(lines)])
+    return s.select(F.explode(report).alias("l")).select("l.line_no", "l.line")
+
+
+@query
+def block_verify_stream(r: Repository) -> DataFrame:
+    """Every stored block verified as a stream."""
+    path = f"{scratch_dir(r.spark)}/verify-{uuid.uuid4().hex}"
+    store = r.line_store()
+    store.write.parquet(f"{path}/store")
+    return ingest.run_once(ingest.verify(ingest.read(r.spark, f"{path}/store", store.schema)), f"{path}/checks")
+
+
+@query
+def block_store_appended(r: Repository) -> DataFrame:
+    """All lines delivered twice to a block store that keeps each once."""
+    path = f"{scratch_dir(r.spark)}/store-{uuid.uuid4().hex}"
+    deliver = ingest.append_missing(path, ["hash"])
+    lines = r.lines().select("hash", "content")
+    deliver(lines, 0)
+    deliver(lines, 1)
+    return r.spark.read.schema(lines.schema).parquet(path).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max(F.md5("content")).alias("content_md5"))
+
+
+def _folder(r: Repository) -> str:
+    """A fresh folder that driver and executors see as files."""
+    return re.sub("^file:(//)?", "", f"{scratch_dir(r.spark)}/layout-{uuid.uuid4().hex}")
+
+
+@query
+def commit_files(r: Repository) -> DataFrame:
+    """All commits written as JSON files and read back."""
+    root = _folder(r)
+    rows = r.commits().select("id", "parents", "branch", "message", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "fileset_id")
+    document = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    layout.write_documents(rows.select("id", document.alias("d")), f"{root}/commits", "id", "d")
+    return layout.read_commits(r.spark, f"file:{root}").select("id", F.array_join("parents", ",").alias("parents"), "branch", "message", "timestamp", "fileset_id")
+
+
+@query
+def snapshot_files(r: Repository) -> DataFrame:
+    """All snapshots written as JSON files and read back."""
+    root = _folder(r)
+    rows = r.entries().select("fileset_id", F.struct(F.col("path").alias("Path"), F.col("blocks").alias("Blocks")).alias("e"))
+    sets = rows.groupBy("fileset_id").agg(F.sort_array(F.collect_list("e")).alias("files"))
+    layout.write_documents(sets.select("fileset_id", F.to_json(F.struct(F.col("fileset_id").alias("id"), "files")).alias("d")), f"{root}/snapshots", "fileset_id", "d")
+    return layout.read_entries(r.spark, f"file:{root}").select("fileset_id", "path", F.size("blocks").cast("bigint").alias("n_blocks"), F.array_join(F.transform("blocks", lambda b: b["hash"]), ",").alias("hashes"))
+
+
+@query
+def branch_files(r: Repository) -> DataFrame:
+    """All branch pointers with a tip written as files and read back."""
+    root = _folder(r)
+    layout.write_branches(r.branches().where(F.col("tip").isNotNull()), root)
+    return layout.read_branches(r.spark, f"file:{root}")
+
+
+@query
+def leftover_files(r: Repository) -> DataFrame:
+    """Leftovers of interrupted writes among the loose files."""
+    return compaction.leftovers(r.table("loose_files"))
+
+
 @query
 def check_results(r: Repository) -> DataFrame:
     """Scan results by status in one spelling, repeated rows once."""
@@ -151,10 +234,9 @@ def entry_equal(r: Repository) -> DataFrame:
     return t.select("branch", "path", diff.same(F.col("a"), F.col("b")).alias("is_equal"))
 
 
-def _status(r: Repository) -> DataFrame:
-    last = r.triple(1)
-    staged = F.length("path") % 3 == 0
-    return diff.status(r.triple(2), last.where(staged), last.where(~staged), ["branch", "path"])
+def _status(r: Repository, show_untracked: bool = True) -> DataFrame:
+    """Over whole snapshots: the third last is committed, the second last staged, the last in the tree."""
+    return diff.status(r.triple(3), r.triple(2), r.triple(1), ["branch", "path"], show_untracked)
 
 
 @query
@@ -174,12 +256,16 @@ def status_counts(r: Repository) -> DataFrame:
 
 @query
 def status_snapshots(r: Repository) -> DataFrame:
-    """Status over whole snapshots: the third last is committed, the second last staged, the last in the tree."""
-    return diff.status(r.triple(3), r.triple(2), r.triple(1), ["branch", "path"])
+    return _status(r)
 
 
 @query
-def scan_classes_snapshots(r: Repository) -> DataFrame:
+def status_tracked_only(r: Repository) -> DataFrame:
+    return _status(r, show_untracked=False)
+
+
+@query
+def scan_classes(r: Repository) -> DataFrame:
     """Classes of all paths, the index being the last snapshots."""
     paths = r.entries().select("path").distinct()
     index = r.triple(1).select("path").distinct().withColumn("known", F.lit(True))
@@ -188,11 +274,14 @@ def scan_classes_snapshots(r: Repository) -> DataFrame:
 
 
 @query
-def scan_classes(r: Repository) -> DataFrame:
-    paths = r.entries().select("path").distinct()
-    hit = glob.ignored(F.col("path"), *glob.rules(IGNORE))
-    index = paths.where(F.length("path") % 2 == 0).withColumn("known", F.lit(True))
-    return paths.join(index, "path", "left").select("path", F.when(hit, "ignored").when(F.col("known"), "staged").otherwise("tracked").alias("class"))
+def scan_classes_snapshots(r: Repository) -> DataFrame:
+    return scan_classes(r)
+
+
+@query
+def scan_counts(r: Repository) -> DataFrame:
+    """Files of every class."""
+    return scan_classes(r).groupBy("class").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query
@@ -216,11 +305,8 @@ def index_upsert(r: Repository) -> DataFrame:
 
 
 def _verdicts(r: Repository) -> DataFrame:
-    """A merge with every kind of outcome: both sides edit the last snapshots by rule of the path."""
-    n, extra = F.length("path"), F.array(F.struct(F.lit("edited").alias("hash"), F.lit(1).cast("bigint").alias("size")))
-    edit = lambda df, every, lost: df.where(n % 7 != lost).withColumn("blocks", F.when(n % every == 0, F.concat("blocks", extra)).otherwise(F.col("blocks")))
-    last = r.triple(1)
-    return diff.merge_verdicts(r.triple(2).where(n % 7 != 0), edit(last, 5, 1), edit(last, 3, 2), ["branch", "path"])
+    """A merge of the two last snapshots of every branch, from the third last."""
+    return diff.merge_verdicts(r.triple(3), r.triple(2), r.triple(1), ["branch", "path"])
 
 
 @query
@@ -263,6 +349,11 @@ def log_oneline(r: Repository) -> DataFrame:
     return log.oneline(log.log(r.commits()))
 
 
+@query
+def log_detailed(r: Repository) -> DataFrame:
+    return log.detailed(log.log(r.commits()), log_refs(r))
+
+
 @query
 def log_branch(r: Repository) -> DataFrame:
     """Newest commit and number of commits of every branch."""
@@ -283,7 +374,7 @@ def branch_list(r: Repository) -> DataFrame:
 @query
 def tip_snapshots(r: Repository) -> DataFrame:
     tips = r.branches().where(F.col("tip").isNotNull()).join(r.commits().select(F.col("id").alias("tip"), "fileset_id"), "tip")
-    counted = r.entries().groupBy("fileset_id").agg(F.count(F.lit(1)).alias("n_files"))
+    counted = r.entries(tips.where(F.col("fileset_id").isNotNull())).groupBy("fileset_id").agg(F.count(F.lit(1)).alias("n_files"))
     return tips.join(counted, "fileset_id", "left").select("name", "tip", "fileset_id", F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
@@ -331,7 +422,7 @@ def _tip_verdicts(r: Repository) -> DataFrame:
     known = r.snapshots().select("fileset_id").withColumn("here", F.lit(True))
     sets = cut(sides.join(r.commits().select("id", "fileset_id"), "id", "left").join(known, "fileset_id", "left"), "merge-sides")
     whole = sets.groupBy("query").agg(F.count_if(F.col("here").isNull()).alias("lacking")).where(F.col("lacking") == 0)
-    rows = cut(sets.join(whole, "query", "left_semi").join(r.entries().select("fileset_id", "path", "blocks"), "fileset_id").select(F.col("query").alias("branch"), "side", "path", "blocks"), "merge-entries")
+    rows = cut(sets.join(whole, "query", "left_semi").join(r.entries(sets.where(F.col("fileset_id").isNotNull())).select("fileset_id", "path", "blocks"), "fileset_id").select(F.col("query").alias("branch"), "side", "path", "blocks"), "merge-entries")
     return diff.merge_verdicts(*[rows.where(F.col("side") == n).select("branch", "path", "blocks") for n in ("base", "ours", "theirs")], ["branch", "path"])
 
 
@@ -358,4 +449,4 @@ def reset_plan(r: Repository) -> DataFrame:
     commits = r.commits()
     back = _tips(r).join(commits.select(F.col("id").alias("tip"), F.get("parents", 0).alias("target")), "tip")
     aim = back.join(commits.select(F.col("id").alias("target"), "fileset_id"), "target")
-    return aim.join(r.entries().select("fileset_id", "path"), "fileset_id").select("name", "target", "path")
+    return aim.join(r.entries(aim.where(F.col("fileset_id").isNotNull())).select("fileset_id", "path"), "fileset_id").select("name", "target", "path")

@@ -40,14 +40,14 @@ _LOG = f"with {_C}, log_v as (select * from commits_v where ts is not null)"
 _TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S') as committed_at"
 
 _SHORT = "case when length(f) <= 40 then f else f[1:18] || '...' || right(f, 18) end"
+_SHORT70 = "case when length({0}) <= 70 then {0} else {0}[1:33] || '...' || right({0}, 33) end"
 _FILES = f"""{_TIPS}, many as (select hash from tip_refs_v group by hash having count(*) > 1),
 files_v as (select path, count(*) as n_blocks, count(*) filter (where hash in (from many)) as n_shared from tip_refs_v group by path)"""
 
 _STATUS = f"""{_NTH},
-h as (select branch, path, blocks from nth_v where n = 2), l as (select branch, path, blocks from nth_v where n = 1),
-k as (select branch, path from h union select branch, path from l),
-j as (select k.branch, k.path, h.blocks as h, case when length(k.path) % 3 = 0 then l.blocks end as s, case when length(k.path) % 3 <> 0 then l.blocks end as w
-  from k left join h using (branch, path) left join l using (branch, path)),
+h as (select branch, path, blocks from nth_v where n = 3), s as (select branch, path, blocks from nth_v where n = 2), w as (select branch, path, blocks from nth_v where n = 1),
+k as (select branch, path from h union select branch, path from s union select branch, path from w),
+j as (select k.branch, k.path, h.blocks as h, s.blocks as s, w.blocks as w from k left join h using (branch, path) left join s using (branch, path) left join w using (branch, path)),
 c as (select branch, path,
   case when s is not null and h is null then 'A' when s is not null and h is not null and h <> s then 'M' when h is not null and w is null and s is not null then 'D' end as st,
   case when w is not null and h is not null and h <> w then 'M' when h is not null and w is null and s is null then 'D' end as un,
@@ -55,11 +55,10 @@ c as (select branch, path,
 status_v as (select branch, path, case when fresh then '?' else coalesce(st, ' ') end as staged, case when fresh then '?' else coalesce(un, ' ') end as unstaged
   from c where st is not null or un is not null or fresh)"""
 
-_EDIT = "case when length(path) % {0} = 0 then list_append(blocks, {{'hash': 'edited', 'size': 1}}) else blocks end as blocks"
 _MERGE = f"""{_NTH},
-b as (select branch, path, blocks from nth_v where n = 2 and length(path) % 7 <> 0),
-o as (select branch, path, {_EDIT.format(5)} from nth_v where n = 1 and length(path) % 7 <> 1),
-t as (select branch, path, {_EDIT.format(3)} from nth_v where n = 1 and length(path) % 7 <> 2),
+b as (select branch, path, blocks from nth_v where n = 3),
+o as (select branch, path, blocks from nth_v where n = 2),
+t as (select branch, path, blocks from nth_v where n = 1),
 k as (select branch, path from b union select branch, path from o union select branch, path from t),
 verdict_v as (select k.branch, k.path, o.blocks as ours, t.blocks as theirs,
   case when o.blocks is not distinct from t.blocks then case when o.blocks is null then 'gone' else 'same' end
@@ -78,7 +77,56 @@ chain_v as (
   select tip, 0 as step, tip as id, [tip] as seen from (select distinct tip from branches_v where tip in (select id from commits_v)) union all
   select tip, step + 1, e.parent, list_append(seen, e.parent) from chain_v c join edge_v e on e.id = c.id where e.parent is not null and not list_contains(seen, e.parent))"""
 
+_CLASSES = f"""{_NTH}, class_v as (select path, case when path like 'shared/%' or path = 'shared' or regexp_matches(path, '(^|/)[^/]*\\.cfg$')
+    or regexp_matches(path, '^[^/]*/scripts/.*[^/]*\\.txt$') or regexp_matches(path, '(^|/)tests(/|$)') then 'ignored'
+  when path in (select path from nth_v where n = 1) then 'staged' else 'tracked' end as class from (select distinct path from entries_v))"""
+
+#: Breadth first from the other tip through what the main tip does not reach; of equally short ways the first parents count.
+_BASES = f"""with recursive {_C}, {_B},
+up_v as (select c.id, p.id as parent, min(c.place) as place from (select id, unnest(parents) as p, generate_subscripts(parents, 1) as place from commits_v) c join commits_v p on p.id = c.p group by all),
+edge_v as (select id, parent, row_number() over (partition by id order by place) as choice from up_v),
+tip_v as (select name, tip, string_split(name, '-')[1] as project from branches_v where tip is not null),
+pair_v as (select t.name, m.tip as a, t.tip as b from tip_v t join tip_v m on m.project = t.project and m.name = m.project || '-main' where m.tip <> t.tip),
+reach_v as (select name, a as id from pair_v where a in (select id from commits_v) union select r.name, e.parent from reach_v r join edge_v e on e.id = r.id),
+walk_v as (
+  select name, b as id, 0 as d, []::bigint[] as route, [b] as seen, (name, b) in (select (name, id) from reach_v) as met from pair_v where b in (select id from commits_v) union all
+  select w.name, e.parent, d + 1, list_append(route, e.choice), list_append(seen, e.parent), (w.name, e.parent) in (select (name, id) from reach_v)
+  from walk_v w join edge_v e on e.id = w.id where not w.met and not list_contains(seen, e.parent)),
+base_v as (select p.name, p.a, p.b, m.base from pair_v p left join (select name, first(id order by d, route) as base from walk_v where met group by name) m on m.name = p.name)"""
+
+_TIP_MERGE = f"""{_BASES}, {_S}, {_E},
+side_v as (select s.name, s.side, c.fileset_id, v.fileset_id as here from (
+    select name, 'base' as side, base as id from base_v where base is not null union all select name, 'ours', a from base_v union all select name, 'theirs', b from base_v) s
+  left join commits_v c on c.id = s.id left join snap_v v on v.fileset_id = c.fileset_id),
+rows_v as (select s.name as branch, s.side, e.path, e.blocks from side_v s join entries_v e on e.fileset_id = s.fileset_id where s.name not in (select name from side_v where here is null)),
+b as (select branch, path, blocks from rows_v where side = 'base'), o as (select branch, path, blocks from rows_v where side = 'ours'), t as (select branch, path, blocks from rows_v where side = 'theirs'),
+{_MERGE[_MERGE.index('k as (select branch'):]}"""
+
 SQL = {
+    "merge_base": f"{_BASES} select name, base from base_v",
+    "merge_tips_verdict": f"{_TIP_MERGE} select branch, verdict, count(*) as n_paths from verdict_v group by branch, verdict",
+    "merge_tips_result": f"{_TIP_MERGE} select branch, path, len(blocks) as n_blocks, conflict from merged_v",
+    "block_list_all_files": f"""{_TIPS}, g as (select hash, string_agg(distinct path, ',' order by path) as files, string_agg(distinct branch, ',' order by branch) as branches from tip_refs_v group by hash)
+        select hash, {_SHORT70.format('files')} as files, {_SHORT70.format('branches')} as branches from g""",
+    "block_repair_totals": f"{_LINES} select count(*) as n_bad, count(*) filter (where hash in (select hash from lines_v)) as n_repairable, count(*) filter (where hash not in (select hash from lines_v)) as n_lost from verify_v where status <> 'OK'",
+    "block_file_reuse_pct": f"{_FILES} select round(count(*) filter (where n_shared > 0) * 100.0::double / nullif(count(*), 0), 6) as file_reuse_pct from files_v",
+    "block_reuse_report": f"""{_FILES}, blocks_v as (select count(*) as n from tip_refs_v group by hash),
+        t as (select count(*) as total, count(*) filter (where n > 1) as shared, (select count(*) from files_v) as files from blocks_v)
+        select 0 as line_no, rpad('Total blocks', 24, '.') || ' ' || total as line from t union all select 1, rpad('Shared blocks', 24, '.') || ' ' || shared from t union all
+        select 2, rpad('Total files', 24, '.') || ' ' || files from t union all select 3, rpad('Overall reuse', 24, '.') || ' ' || printf('%.1f%%', round(shared * 100.0::double / nullif(total, 0), 6)) from t""",
+    "block_verify_stream": f"{_LINES} select hash, case when md5(content) = hash then 'OK' else 'Damaged' end as status from store_v",
+    "block_store_appended": f"{_LINES} select hash, 1 as n, hash as content_md5 from (select distinct hash from lines_v)",
+    "commit_files": f"with {_C} select id, array_to_string(parents, ',') as parents, branch, message, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp, fileset_id from commits_v",
+    "snapshot_files": f"with {_S}, {_E} select fileset_id, path, len(blocks) as n_blocks, array_to_string(list_transform(blocks, lambda b: b.hash), ',') as hashes from entries_v",
+    "branch_files": f"with {_B} select name, tip from branches_v where tip is not null",
+    "leftover_files": "select distinct file_name from loose_files where regexp_matches(file_name, '(^|[/\\\\])\\.?tmp-[^/\\\\]*$')",
+    "log_detailed": f"""with {_C}, {_B}, cur as (select min(name) as head from branches_v),
+        r as (select tip as id, string_agg(case when name = head then 'HEAD -> ' || name else name end, ', ' order by name <> head, name) as refs from branches_v, cur where tip is not null group by tip),
+        p as (select *, list_filter(parents, lambda x: x is not null) as known from commits_v where ts is not null)
+        select p.id, 'commit ' || p.id || case when refs is null then '' else ' (' || refs || ')' end as header,
+          case when len(known) > 1 then 'Merge: ' || array_to_string(list_transform(known, lambda x: x[1:7]), ' ') end as merge_line,
+          'Date:   ' || strftime(ts, '%a %b %-d %H:%M:%S %Y +0000') as date_line, '    ' || replace(coalesce(message, ''), chr(10), chr(10) || '    ') as body
+        from p left join r on r.id = p.id""",
     "block_reuse_summary": f"""{_FILES}, blocks_v as (select count(*) as n from tip_refs_v group by hash)
         select (select count(*) from blocks_v) as total_blocks, (select count(*) from blocks_v where n > 1) as shared_blocks, (select count(*) from blocks_v where n = 1) as unique_blocks,
           (select count(*) from files_v) as total_files, (select count(*) from files_v where n_shared > 0) as files_with_shared,
@@ -109,10 +157,12 @@ SQL = {
         select branch, path, a.blocks is not distinct from b.blocks as is_equal from a full join b using (branch, path)""",
     "status_full": f"{_STATUS} select * from status_v",
     "status_short": f"{_STATUS} select branch, staged || unstaged || ' ' || path as line from status_v",
+    "status_snapshots": f"{_STATUS} select * from status_v",
+    "status_tracked_only": f"{_STATUS} select * from status_v where staged <> '?'",
     "status_counts": f"{_STATUS} select staged, unstaged, count(*) as n_paths from status_v group by all",
-    "scan_classes": f"""with {_S}, {_E} select path, case when path like 'shared/%' or path = 'shared' or regexp_matches(path, '(^|/)[^/]*\\.cfg$')
-        or regexp_matches(path, '^[^/]*/scripts/.*[^/]*\\.txt$') or regexp_matches(path, '(^|/)tests(/|$)') then 'ignored'
-        when length(path) % 2 = 0 then 'staged' else 'tracked' end as class from (select distinct path from entries_v)""",
+    "scan_classes": f"{_CLASSES} select * from class_v",
+    "scan_classes_snapshots": f"{_CLASSES} select * from class_v",
+    "scan_counts": f"{_CLASSES} select class, count(*) as n_files from class_v group by class",
     "add_pathspec": f"{_NTH} select branch, path from nth_v where n = 1 and (path like '%.pak' or starts_with(path, '*.pak'))",
     "add_prefix": f"{_NTH} select branch, path from nth_v where n = 1 and starts_with(path, 'shared/')",
     "add_update": f"{_NTH} select branch, path from nth_v where n = 1 and (branch, path) in (select (branch, path) from nth_v where n = 2)",

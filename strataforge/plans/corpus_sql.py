@@ -109,11 +109,9 @@ select node as id, (count(*) - 1)::bigint as n_descendants, (any_value(f.depth)
 from walk w join far f on f.id = w.node where w.id not in (from cyc) group by node"""
 
 P5_TIPS = LINKS + f"""
-, tips as (select distinct {key('tip')} as id from branches),
-roots as (select w.id, w.node as root_id, f.depth from walk w join far f on f.id = w.id and f.depth = w.d where w.id not in (from cyc)),
-pick as (select root_id, first(id order by depth desc, id desc) as id from roots where id in (select id from tips where id is not null) group by root_id)
+, tips as (select distinct {key('tip')} as id from branches)
 select w.id as tip_id, (f.depth - w.d)::bigint as step, w.node as commit_id
-from walk w join far f on f.id = w.id where w.id in (select id from pick)"""
+from walk w join far f on f.id = w.id where w.id in (select id from tips where id is not null) and w.id not in (from cyc)"""
 
 P4 = """
 with f as (

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataforge.functions.normal import clean_path, counting_rows, element_key, key, rfc3339
-from strataforge.operators import blocks
+from strataforge.operators import blocks, snapshots
 
 
 class Repository:
@@ -30,20 +30,29 @@ class Repository:
         return rows.groupBy("name").agg(F.max(F.struct("updated_at", "tip"))["tip"].alias("tip"))
 
     def snapshots(self) -> DataFrame:
-        """``fileset_id, branch, taken_at, files`` of each delivered fileset."""
-        rows = self.table("filesets").select(key(F.col("id")).alias("id"), key(F.col("branch")).alias("branch"), "taken_at", "files", "arrived_at")
-        return counting_rows(rows, "id", ["branch", "taken_at", "files"]).where(F.col("files").isNotNull()).select(F.col("id").alias("fileset_id"), "branch", "taken_at", "files")
-
-    def entries(self) -> DataFrame:
-        """``fileset_id, branch, taken_at, path, blocks``; the last entry of a path counts."""
-        listed = self.snapshots().select("fileset_id", "branch", "taken_at", F.posexplode("files").alias("pos", "f"))
+        """``fileset_id, branch, taken_at`` of each delivered fileset; its ``at`` and ``tie`` find the row."""
+        return snapshots.newest(self.table("filesets")).where(F.col("n_files") >= 0).select("fileset_id", "branch", "taken_at", "at", "tie")
+
+    def entries(self, of: DataFrame | None = None) -> DataFrame:
+        """``fileset_id, branch, taken_at, path, blocks``; the last entry of a path counts.
+
+        Only of the filesets in ``of`` (``fileset_id``), if given: they are chosen by
+        their metadata, before any file list is read apart.
+        """
+        heads = self.snapshots()
+        if of is not None:
+            heads = heads.join(of.select("fileset_id"), "fileset_id", "left_semi")
+        source = snapshots.deliveries(self.table("filesets"), "files").where(F.col("n_files") > 0).select("fileset_id", "at", "tie", "files")
+        same = (F.col("s.fileset_id") == F.col("h.fileset_id")) & F.col("s.at").eqNullSafe(F.col("h.at")) & (F.col("s.tie") == F.col("h.tie"))
+        listed = heads.alias("h").join(source.alias("s"), same).select("h.fileset_id", "h.branch", "h.taken_at", F.posexplode("s.files").alias("pos", "f"))
         plain = F.transform(F.coalesce(F.col("f.blocks"), F.array()), lambda b: F.struct(element_key(b["hash"]).alias("hash"), b["size"].alias("size")))
         rows = listed.select("fileset_id", "branch", "taken_at", clean_path(F.col("f.path")).alias("path"), "pos", plain.alias("blocks")).where(F.col("path") != "")
         return rows.groupBy("fileset_id", "branch", "taken_at", "path").agg(F.max_by("blocks", "pos").alias("blocks"))
 
     def tip_refs(self) -> DataFrame:
         """``branch, path, seq, hash, size`` of the tips' snapshots."""
-        return blocks.tip_refs(self.branches(), self.commits(), self.entries())
+        sets = blocks.tip_sets(self.branches(), self.commits())
+        return blocks.tip_refs(sets, self.entries(sets))
 
     def all_refs(self) -> DataFrame:
         """``branch, path, hash, size`` of every recorded reference, repeated rows once."""
@@ -51,10 +60,9 @@ class Repository:
 
     def triple(self, n: int) -> DataFrame:
         """Entries of the ``n``-th last snapshot of every branch: ``branch, path, blocks``."""
-        from pyspark.sql import Window
-
-        heads = self.snapshots().where(F.col("branch").isNotNull() & F.col("taken_at").isNotNull()).select("fileset_id", "branch", F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("taken_at"), F.desc("fileset_id"))).alias("n"))
-        return self.entries().join(heads.where(F.col("n") == n).select("fileset_id"), "fileset_id", "left_semi").select("branch", "path", "blocks")
+        last = F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("taken_at"), F.desc("fileset_id")))
+        heads = self.snapshots().where(F.col("branch").isNotNull() & F.col("taken_at").isNotNull()).select("fileset_id", last.alias("n"))
+        return self.entries(heads.where(F.col("n") == n)).select("branch", "path", "blocks")
 
     def lines(self) -> DataFrame:
         """Documents as files, lines as blocks: ``path, seq, hash, content``."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -20,6 +21,20 @@ FILESET = f"id string, files array<struct<Path:string,Blocks:array<{_BLOCK}>>>"
 ENTRY = f"Path string, Blocks array<{_BLOCK}>"
 
 
+#: Begin of the names of files that are being written.
+TEMPORARY = ".tmp-"
+
+
+def clean_temporary(folder: str) -> int:
+    """Delete what interrupted writes left in ``folder``; not while one is at work. Number of files."""
+    gone = 0
+    for entry in os.scandir(folder) if os.path.isdir(folder) else ():
+        if entry.is_file() and entry.name.startswith((TEMPORARY, TEMPORARY[1:])):
+            os.remove(entry.path)
+            gone += 1
+    return gone
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
@@ -67,9 +82,10 @@ def write_documents(rows: DataFrame, folder: str, name: str, document: str) -> N
         for batch in batches:
             for key, text in zip(batch["name"], batch["document"]):
                 where = os.path.join(folder, f"{key}.json")
-                with open(f"{where}.tmp-{os.getpid()}", "w", encoding="utf-8") as file:
+                draft = os.path.join(folder, f"{TEMPORARY}{uuid.uuid4().hex}")
+                with open(draft, "w", encoding="utf-8") as file:
                     json.dump(json.loads(text), file, indent=2, ensure_ascii=False)
-                os.replace(file.name, where)
+                os.replace(draft, where)
         yield pd.DataFrame({"n": [0]})
 
     rows.select(F.col(name).alias("name"), F.col(document).alias("document")).mapInPandas(run, "n int").count()
@@ -80,3 +96,20 @@ def write_layout(root: str, commits: DataFrame, entries: DataFrame) -> None:
     write_documents(commits.select("id", F.to_json(F.struct("id", "parents", "branch", "message", "timestamp", "fileset_id"), {"ignoreNullFields": "false"}).alias("d")), f"{root}/commits", "id", "d")
     sets = entries.groupBy("fileset_id").agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("Path"), F.col("blocks").alias("Blocks")))).alias("files"))
     write_documents(sets.select("fileset_id", F.to_json(F.struct(F.col("fileset_id").alias("id"), "files")).alias("d")), f"{root}/snapshots", "fileset_id", "d")
+
+
+def write_branches(rows: DataFrame, root: str) -> None:
+    """``name, tip`` as one text file each; a null tip is an empty file."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = os.path.join(root, "branches")
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for name, tip in zip(batch["name"], batch["tip"]):
+                draft = os.path.join(root, f"{TEMPORARY}{uuid.uuid4().hex}")
+                with open(draft, "w", encoding="utf-8") as file:
+                    file.write(tip or "")
+                os.replace(draft, os.path.join(folder, name))
+        yield pd.DataFrame({"n": [0]})
+
+    rows.select("name", "tip").mapInPandas(run, "n int").count()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -129,7 +130,7 @@ def write_files(contents: DataFrame, root: str) -> None:
                     current = path
                     where = os.path.join(root, path)
                     os.makedirs(os.path.dirname(where) or ".", exist_ok=True)
-                    file = open(f"{where}.tmp-{os.getpid()}", "wb")  # noqa: SIM115
+                    file = open(os.path.join(os.path.dirname(where), f".tmp-{uuid.uuid4().hex}"), "wb")  # noqa: SIM115
                 if data is not None:
                     file.write(bytes(data))
         finish()

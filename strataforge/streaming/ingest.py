@@ -29,6 +29,22 @@ def counts(refs: DataFrame, window: str = "1 day", delay: str = "1 hour") -> Dat
     return refs.withWatermark("recorded_at", delay).groupBy(F.window("recorded_at", window), "branch").agg(F.count(F.lit(1)).alias("n_refs"), F.sum("size").alias("n_bytes")).select(F.col("window.start").alias("from_time"), "branch", "n_refs", "n_bytes")
 
 
+def verify(blocks: DataFrame, content_hash=F.md5) -> DataFrame:
+    """``hash, status`` (OK or Damaged) of stored blocks (``hash, content``) as they arrive.
+
+    Stateless, so it holds no memory however many blocks there are; which blocks are
+    missing only a finished store shows (``operators.blocks.verify``).
+    """
+    good = F.coalesce(content_hash(F.col("content")) == F.col("hash"), F.lit(False))
+    return blocks.select("hash", F.when(good, "OK").otherwise("Damaged").alias("status"))
+
+
+def run_once(stream: DataFrame, path: str) -> DataFrame:
+    """Everything there is of a stream, appended to a parquet table at ``path``; restartable."""
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start(path).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def append_missing(store_path: str, keys: list[str]):
     """A ``foreachBatch`` sink that appends rows whose keys the store lacks.
 

@@ -2,13 +2,16 @@
 
 Tables are parquet: ``commits``, ``entries`` (by commit), ``blocks``, ``index``;
 HEAD and branch tips are small text files. Clock and ids are arguments, so a run
-can be repeated. Every change writes data first and moves the pointer last.
+can be repeated. Every change writes data first and moves the pointer last, and only
+if the pointer still is what the change started from. Commands that build on stored
+blocks verify them first.
 """
 
 from __future__ import annotations
 
 import time
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +32,9 @@ class RepositoryError(RuntimeError):
 
 
 class Repo:
-    def __init__(self, spark: SparkSession, root: str, tree: str, smallest: int = chunking.MIN_BLOCK, largest: int = chunking.MAX_BLOCK, modulus: int = chunking.MODULUS, clock=None) -> None:
-        self.spark, self.root, self.tree = spark, root.rstrip("/"), tree
+    def __init__(self, spark: SparkSession, root: str, tree: str, smallest: int = chunking.MIN_BLOCK, largest: int = chunking.MAX_BLOCK, modulus: int = chunking.MODULUS, clock=None, guard: bool = True) -> None:
+        """``guard``: verify the blocks of all tips before a command that changes something."""
+        self.spark, self.root, self.tree, self.guard = spark, root.rstrip("/"), tree, guard
         self.cutting = {"smallest": smallest, "largest": largest, "modulus": modulus}
         self.clock = clock or (lambda: datetime.now(timezone.utc))
         jvm = spark.sparkContext._jvm
@@ -54,6 +58,37 @@ class Repo:
         stream.write(text.encode())
         stream.close()
 
+    def _move(self, branch: str, old: str | None, new: str) -> None:
+        """Set a tip from ``old`` to ``new``; an error if another writer has moved it meanwhile.
+
+        The lock is a file that is created only where there is none.
+        """
+        lock = self._path(f"{self.root}/locks/{branch}")
+        try:
+            self._fs.create(lock, False).close()
+        except Exception as error:
+            raise RepositoryError(f"branch {branch} is locked by another writer (or by one that died: remove {lock})") from error
+        try:
+            if self.tip(branch) != old:
+                raise RepositoryError(f"branch {branch} has moved from {old!r}; nothing is lost, repeat the command")
+            self._write(f"branches/{branch}", new)
+        finally:
+            self._fs.delete(lock, False)
+
+    def check_blocks(self) -> None:
+        """An error that names the first bad block of any tip, if there is one."""
+        if self._fs.exists(self._path(f"{self.root}/entries")) and (bad := blocks.first_bad(blocks.verify(self.tip_refs(), self.store(), chunking.xxh3)).first()):
+            raise RepositoryError(f"block {bad['hash']} is {bad['status'].lower()}; run block_repair first")
+
+    def _guard(self) -> None:
+        if self.guard:
+            self.check_blocks()
+
+    def read_block(self, hash: str) -> bytes | None:
+        """The contents of one block; null if it is not stored."""
+        found = self.store().where(F.col("hash") == hash).select("content").first()
+        return None if found is None else bytes(found["content"])
+
     def table(self, name: str, schema: str) -> DataFrame:
         if not self._fs.exists(self._path(f"{self.root}/{name}")):
             return self.spark.createDataFrame([], schema)
@@ -109,6 +144,7 @@ class Repo:
             raise RepositoryError(f"not a branch name: {name!r}")
         if name in self.branch_names():
             raise RepositoryError(f"branch {name} exists")
+        self._guard()
         self._write(f"branches/{name}", self.tip() or "")
 
     # --- staging and commits ------------------------------------------------
@@ -119,21 +155,25 @@ class Repo:
     def _pieces(self, files: DataFrame, contents: bool = True) -> DataFrame:
         return worktree.pieces(files, self.tree, contents=contents, **self.cutting)
 
-    def add(self, spec: str = ".", update: bool = False) -> int:
-        """Stage files; with ``update`` only those the last commit knows."""
+    def add(self, *specs: str, update: bool = False) -> int:
+        """Stage the files of any of ``specs`` (default all); with ``update`` only those the last commit knows."""
+        self._guard()
         rows = self.scan().where(F.col("class") != "ignored").select("path")
         if update:
             rows = rows.join(self.entries(self.tip()), "path", "left_semi").select("path")
-        rows = diff.pathspec(rows, spec)
+        chosen = [diff.pathspec(rows, spec) for spec in specs or (".",)]
+        rows = reduce(DataFrame.unionByName, chosen).distinct()
         fresh = cut(worktree.entries_of(self._pieces(rows, contents=False)), "staged")
         self._save_index(diff.upsert(self.index(), fresh, ["path"]))
         return fresh.count()
 
     def _store_blocks(self, rows: DataFrame) -> None:
         """Add blocks of files the store lacks; hashed in the pass that read them."""
-        found = cut(self._pieces(rows).where(F.col("seq").isNotNull()).select("hash", "size", "content"), "pieces")
-        missing = found.dropDuplicates(["hash"]).join(self.store().select("hash", "size"), ["hash", "size"], "left_anti")
-        missing.select("hash", "size", "content").write.mode("append").parquet(f"{self.root}/blocks")
+        listed = self._pieces(rows, contents=False).where(F.col("seq").isNotNull()).select("path", "hash", "size")
+        # by hash first: only files with a block that lacks are read for their contents
+        lacking = cut(listed.join(self.store().select("hash", "size"), ["hash", "size"], "left_anti"), "lacking")
+        found = self._pieces(lacking.select("path").distinct()).where(F.col("seq").isNotNull()).join(lacking.select("hash").distinct(), "hash", "left_semi")
+        found.dropDuplicates(["hash"]).select("hash", "size", "content").write.mode("append").parquet(f"{self.root}/blocks")
 
     def _new_id(self) -> str:
         return f"{time.time_ns():x}"
@@ -144,11 +184,12 @@ class Repo:
         content = blocks.fileset_ids(kept.withColumnRenamed("commit_id", "fileset_id"), chunking.xxh3).first()
         row = (commit, parents, self.current(), message, self.clock().strftime("%Y-%m-%dT%H:%M:%SZ"), content["content_id"] if content else None)
         self.spark.createDataFrame([row], COMMITS).write.mode("append").parquet(f"{self.root}/commits")
-        self._write(f"branches/{self.current()}", commit)
+        self._move(self.current(), parents[0] if parents else None, commit)
         return commit
 
     def commit(self, message: str, id: str | None = None, allow_empty: bool = False) -> str:
         """A snapshot of the index (and of nothing else)."""
+        self._guard()
         staged = cut(self.index(), "index")
         if staged.isEmpty() and not allow_empty:
             raise RepositoryError("nothing staged")
@@ -183,7 +224,8 @@ class Repo:
         """Write entries into the tree; files that are not among them stay."""
         rows = cut(rows, "restore")
         parts = rows.select("path", F.posexplode_outer("blocks").alias("seq", "b")).select("path", "seq", F.col("b.hash").alias("hash"))
-        full = cut(parts.join(self.store().select("hash", "content").dropDuplicates(["hash"]), "hash", "left").select("path", F.coalesce("seq", F.lit(0)).alias("seq"), "hash", "content"), "contents")
+        wanted = self.store().select("hash", "content").join(parts.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+        full = cut(parts.join(wanted, "hash", "left").select("path", F.coalesce("seq", F.lit(0)).alias("seq"), "hash", "content"), "contents")
         if bad := full.where(F.col("hash").isNotNull() & F.col("content").isNull()).first():
             raise RepositoryError(f"block {bad['hash']} of {bad['path']} is missing")
         worktree.write_files(full, self.tree)
@@ -191,21 +233,25 @@ class Repo:
     def checkout(self, branch: str) -> None:
         if branch not in self.branch_names():
             raise RepositoryError(f"no branch {branch}")
+        self._guard()
         self.restore(self.entries(self.tip(branch)))
         self.set_head(branch)
 
     def reset(self, commit: str, mode: str = "mixed") -> None:
         """``soft`` moves the tip, ``mixed`` also the index, ``hard`` also the tree."""
         self._known(commit)
+        self._guard()
+        old = self.tip()
         if mode in ("mixed", "hard"):
             self._save_index(self.entries(commit))
         if mode == "hard":
             self.restore(self.entries(commit))
-        self._write(f"branches/{self.current()}", commit)
+        self._move(self.current(), old, commit)
 
     def cherry_pick(self, commit: str, id: str | None = None) -> str:
         """A commit of the picked commit's whole snapshot on the current branch."""
         self._known(commit)
+        self._guard()
         message = self.commits().where(F.col("id") == commit).first()["message"]
         tip, rows = self.tip(), cut(self.entries(commit), "picked")
         done = self._record(id or self._new_id(), [tip] if tip else [], message, rows)
@@ -215,6 +261,7 @@ class Repo:
     def merge(self, branch: str, id: str | None = None) -> tuple[str, DataFrame]:
         """Three-way merge of ``branch``; returns the commit and the conflicting paths."""
         ours, theirs = self._known(self.tip()), self._known(self.tip(branch))
+        self._guard()
         pair = self.spark.createDataFrame([("m", ours, theirs)], "query string, a string, b string")
         base = graph.Compressed(self.commits()).merge_bases(pair).first()["base"]
         rows = cut(diff.merged(diff.merge_verdicts(self.entries(base), self.entries(ours), self.entries(theirs), ["path"])), "merged")
@@ -246,6 +293,16 @@ class Repo:
         have = self.scan().where(F.col("class") != "ignored").select("path")
         files = bad.select(F.explode("files").alias("path")).distinct().join(have, "path", "left_semi").select("path")
         found = cut(self._pieces(files).join(bad.select("hash"), "hash", "left_semi").dropDuplicates(["hash"]).select("hash", "size", "content"), "rebuilt")
-        good = cut(self.store().join(found.select("hash"), "hash", "left_anti").unionByName(found), "store")
-        good.write.mode("overwrite").parquet(f"{self.root}/blocks")
+        # only the files of the store that hold a bad copy are written anew, and deleted after that
+        where = F.col("_metadata.file_path")
+        stored = self.store().select("*", where.alias("file"))
+        old = cut(stored.join(found.select("hash"), "hash", "left_semi").select("file").distinct(), "store-files")
+        kept = stored.join(old, "file", "left_semi").join(found.select("hash"), "hash", "left_anti").select("hash", "size", "content")
+        kept.unionByName(found).write.mode("append").parquet(f"{self.root}/blocks")
+        for row in old.toLocalIterator():
+            self._fs.delete(self._path(row["file"]), False)
         return blocks.verify(bad, self.store(), chunking.xxh3)
+
+    def repair_totals(self, after: DataFrame) -> DataFrame:
+        """``status, n_blocks`` of the checks that :meth:`block_repair` returned."""
+        return after.groupBy("status").agg(F.count(F.lit(1)).alias("n_blocks"))

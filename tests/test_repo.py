@@ -57,9 +57,7 @@ def test_life_of_a_repository(repo):
     repo.checkout("feature")
     assert get(repo.tree, "a.txt") == "one " * 100 and get(repo.tree, "empty.txt") == ""
     put(repo.tree, a="theirs " * 90, sub__b="two changed")
-    repo.add("a.txt")
-    repo.add("sub/")
-    repo.add(worktree.IGNORE_FILE)
+    repo.add("a.txt", "sub/", worktree.IGNORE_FILE)
     repo.commit("on feature", id="f1")
 
     repo.checkout("main")
@@ -80,7 +78,34 @@ def test_life_of_a_repository(repo):
     rows = [(r["hash"], r["size"], b"?" if r["hash"] == bad else bytes(r["content"])) for r in repo.store().collect()]
     spark.createDataFrame(rows, "hash string, size bigint, content binary").write.mode("overwrite").parquet(f"{repo.root}/blocks")
     assert [r["hash"] for r in repo.block_scan().where("status = 'Damaged'").collect()] == [bad]
-    assert {r["status"] for r in repo.block_repair().collect()} == {"OK"}
+    with pytest.raises(RepositoryError, match="damaged"):
+        repo.commit("on a damaged store", allow_empty=True)
+    after = repo.block_repair()
+    assert {r["status"] for r in after.collect()} == {"OK"}
+    assert [tuple(r) for r in repo.repair_totals(after).collect()] == [("OK", 1)]
+    assert repo.block_scan().count() == repo.block_scan().select("hash").distinct().count()
+    assert repo.read_block(bad) and repo.read_block("none") is None
+
+
+def test_a_tip_that_has_moved_is_not_overwritten(repo):
+    repo._write("branches/main", "other")
+    with pytest.raises(RepositoryError, match="moved"):
+        repo._move("main", "c1", "c2")
+    repo._move("main", "other", "c2")
+    assert repo.tip() == "c2"
+
+
+def test_leftovers_are_removed(tmp_path):
+    for name, text in (("good.bin", "123"), ("tmp-abc", ""), (".tmp-xyz", "")):
+        (tmp_path / name).write_text(text)
+    assert layout.clean_temporary(str(tmp_path)) == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["good.bin"]
+
+
+def test_block_ids_need_the_library(monkeypatch):
+    monkeypatch.setattr(chunking, "xxhash", None)
+    with pytest.raises(RuntimeError):
+        chunking.block_hash(b"x")
 
 
 def test_head_and_names(repo):

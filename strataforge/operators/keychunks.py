@@ -54,7 +54,7 @@ def _layout(rows: DataFrame, keys: list[str], order: list[str], identity: list[s
     part_rows = max(chunk_rows, -(-in_large // MAX_PARTS))
     heavy = large.where(F.col("_size") > part_rows)  # fewer than MAX_PARTS keys
     step = max(1, part_rows // SAMPLE_ROWS)
-    sample = rows.where(F.pmod(F.xxhash64(*identity), F.lit(step)) == 0).join(F.broadcast(heavy), keys)
+    sample = rows.where(F.pmod(F.xxhash64(*keys, *order, *identity), F.lit(step)) == 0).join(F.broadcast(heavy), keys)
     listed = sample.groupBy(*keys, F.ceil(F.col("_size") / part_rows).cast("int").alias("_parts")).agg(F.array_sort(F.collect_set(_here(order, identity))).alias("s"))
     every = lambda i: F.get("s", F.floor(i * F.size("s") / F.col("_parts")).cast("int"))
     cuts = listed.where(F.size("s") > 0).select(*keys, F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), every)).alias("_cuts"))
@@ -111,8 +111,8 @@ def number_rows(rows: DataFrame, keys: list[str], order: list[str], identity: li
 
     Adds ``row_no`` (1-based, without gaps per key, in the order of ``order``, nulls
     last, ties by ``identity[0]``) and ``chunk_no`` (``(row_no - 1) // chunk_rows``).
-    ``identity``: columns that tell rows apart, the first a number that spreads (a
-    hash); all but the first are dropped. Repeated rows count once. A null in
+    ``identity``: columns that, with keys and order, tell rows apart, the first a number
+    that spreads (a hash); all but the first are dropped. Repeated rows count once. A null in
     ``identity`` is a value like others. Rows with a null in a key column are left
     out. An empty table gives an empty result. Names of columns must not begin with
     ``_``, nor be ``row_no`` or ``chunk_no``.

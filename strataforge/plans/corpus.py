@@ -22,22 +22,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def busy_rows(refs: DataFrame, checks: DataFrame) -> DataFrame:
-    """Both key fields as one relation: ``key_field, key_value, at, ref, fp1, fp2``."""
+    """Both key fields as one relation: ``key_field, key_value, at, ref, fp``.
+
+    ``fp`` only has to tell rows of one key, time and reference apart, so 64 bits do.
+    """
     hashes = refs.select("branch", key(F.col("fileset_id")).alias("ref"), clean_path(F.col("path")).alias("path"), "seq", key(F.col("hash")).alias("key_value"), "size", "start_offset", F.col("recorded_at").alias("at"), "arrived_at")
     hashes = hashes.where(F.col("key_value").isNotNull())
-    fp = fingerprint(*[F.col(c) for c in ("branch", "ref", "path", "seq", "key_value", "size", "start_offset", "at", "arrived_at")])
-    hashes = hashes.select(F.lit("hash").alias("key_field"), "key_value", "at", "ref", fp[0].alias("fp1"), fp[1].alias("fp2"))
+    fp, _ = fingerprint(*[F.col(c) for c in ("branch", "path", "seq", "size", "start_offset", "arrived_at")])
+    hashes = hashes.select(F.lit("hash").alias("key_field"), "key_value", "at", "ref", fp.alias("fp"))
 
     files = checks.select(key(F.col("hash")).alias("ref"), F.col("checked_at").alias("at"), F.explode("files").alias("f"))
     files = files.where(F.col("ref").isNotNull()).select("ref", "at", clean_path(F.col("f")).alias("key_value")).where(F.col("key_value") != "")
-    fp = fingerprint(F.col("ref"), F.col("at"))
-    files = files.select(F.lit("file").alias("key_field"), "key_value", "at", "ref", fp[0].alias("fp1"), fp[1].alias("fp2"))
+    fp, _ = fingerprint(F.col("ref"), F.col("at"))
+    files = files.select(F.lit("file").alias("key_field"), "key_value", "at", "ref", fp.alias("fp"))
     return hashes.unionByName(files)
 
 
 def key_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = busy_rows(table(spark, sf, "block_refs"), table(spark, sf, "block_checks"))
-    return keychunks.key_states(rows, ["key_field", "key_value"], "at", "ref", ["fp1", "fp2"])
+    return keychunks.key_states(rows, ["key_field", "key_value"], "at", "ref", ["fp"])
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -116,8 +116,8 @@ SQL = {
         select 2, rpad('Total files', 24, '.') || ' ' || files from t union all select 3, rpad('Overall reuse', 24, '.') || ' ' || printf('%.1f%%', round(shared * 100.0::double / nullif(total, 0), 6)) from t""",
     "block_verify_stream": f"{_LINES} select hash, case when md5(content) = hash then 'OK' else 'Damaged' end as status from store_v",
     "block_store_appended": f"{_LINES} select hash, 1 as n, hash as content_md5 from (select distinct hash from lines_v)",
-    "commit_files": f"with {_C} select id, array_to_string(parents, ',') as parents, branch, message, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp, fileset_id from commits_v",
-    "snapshot_files": f"with {_S}, {_E} select fileset_id, path, len(blocks) as n_blocks, array_to_string(list_transform(blocks, lambda b: b.hash), ',') as hashes from entries_v",
+    "commit_files": f"with {_C} select id, coalesce(array_to_string(parents, ','), '') as parents, branch, message, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp, fileset_id from commits_v",
+    "snapshot_files": f"with {_S}, {_E} select fileset_id, path, len(blocks) as n_blocks, coalesce(array_to_string(list_transform(blocks, lambda b: b.hash), ','), '') as hashes from entries_v",
     "branch_files": f"with {_B} select name, tip from branches_v where tip is not null",
     "leftover_files": "select distinct file_name from loose_files where regexp_matches(file_name, '(^|[/\\\\])\\.?tmp-[^/\\\\]*$')",
     "log_detailed": f"""with {_C}, {_B}, cur as (select min(name) as head from branches_v),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataforge.functions import chunking, glob, normal, strings
 from strataforge.sources import worktree
 
+# fixed values: the glob cases that the behaviour is defined by
 GLOBS = """
 foo.txt foo.txt 1|foo.txt bar.txt 0|*.txt foo.txt 1|*.txt bar.log 0|foo* foobar 1|foo* barfoo 0|file?.txt file1.txt 1|file?.txt file12.txt 0
 dir/*.txt dir/foo.txt 1|dir/*.txt dir/sub/foo.txt 0|dir/** dir/foo.txt 1|dir/** dir/sub/foo.txt 1|dir/** dir/sub/deep/foo.txt 1|dir/** other/foo.txt 0|dir/** dir 1
